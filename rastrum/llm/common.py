@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +40,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def texts_of(batch: pa.RecordBatch, name: str = "__text") -> list[bytes]:
+    """A batch's texts as UTF-8; a null is an empty text."""
+    return [t or b"" for t in batch[name].cast(pa.binary()).to_pylist()]
+
+
 def with_row_key(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Add ``__id`` and ``__tag``, neither ever null: the id, and a short hash of
     the text and of whether there is an id.

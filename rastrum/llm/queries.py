@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rastrum.llm import secrets, simhash
+from rastrum.llm import decontam, quality, secrets, simhash, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,25 @@ def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select(F.col("id").alias("doc_id"), shown.alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.digest(decontam.scan(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels"))
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+    return judged.select("doc_id", *(F.col(f"__{c}").alias(c) for c in counts))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages")).drop("url", "payload")
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return url_filter.judge(pages, url_filter.weak_labels(pages))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[:2] == "op" and name[2:3].isdigit()}
 
@@ -63,5 +82,19 @@ def _secrets_sql() -> str:
     return _SECRETS.format(more_columns=",\n        ".join(columns), more_spans=",\n        ".join(spans), all_spans=every)
 
 
+# base32 of a SHA-1: 32 groups of 5 bits
+_WARC = """
+with p as (select page_id, coalesce(html, '') as html from pages),
+h as (select page_id, html, sha1(html) as hex, strlen(html) as n from p),
+b as (select *, list_aggregate(list_transform(range(1, 41), lambda i: lpad(bin(strpos('0123456789abcdef', hex[i]) - 1), 4, '0')), 'string_agg', '') as bits from h),
+f as (select *, min(page_id) over (partition by hex) as first from b)
+select page_id, n::bigint as payload_bytes,
+    list_aggregate(list_transform(range(0, 32), lambda k: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + bits[5*k+1]::int * 16 + bits[5*k+2]::int * 8 + bits[5*k+3]::int * 4 + bits[5*k+4]::int * 2 + bits[5*k+5]::int]), 'string_agg', '') as payload_digest,
+    case when page_id = first then 'response' else 'revisit' end as record_type,
+    case when page_id = first then null else first end as refers_to
+from f
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secret_scan": _secrets_sql()}
+    return {"op1_secret_scan": _secrets_sql(), "op7_warc": _WARC}

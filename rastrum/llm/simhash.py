@@ -23,11 +23,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rastrum.llm.common import connected_components, materialize, with_row_key
+from rastrum.llm.common import connected_components, materialize, texts_of, with_row_key
 
 BITS = 64
 SHINGLE = 3
@@ -37,9 +38,9 @@ RADIUS = 2
 BLOCK = 1 << 14
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
+def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
     """A signed 64-bit integer; bit i is set if over half the shingle hashes have it."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    words = text.lower().split()
     if not words:
         return 0
     whole = b" ".join(words)
@@ -62,14 +63,13 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """(id, __id, __tag, __fp) of every row; __id and __tag are the row's key."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = pdf[["id", "__id", "__tag"]].copy()
-            out["__fp"] = np.array([fingerprint(t, shingle) for t in pdf["__text"]], np.int64)
-            yield out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = pa.array([fingerprint(t, shingle) for t in texts_of(b)], pa.int64())
+            yield pa.RecordBatch.from_arrays([b["id"], b["__id"], b["__tag"], found], names=["id", "__id", "__tag", "__fp"])
 
     keyed = with_row_key(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("__text")), "id", "__text")
-    return keyed.mapInPandas(run, "id long, __id long, __tag int, __fp long")
+    return keyed.mapInArrow(run, "id long, __id long, __tag int, __fp long")
 
 
 def _signed(mask: int) -> int:

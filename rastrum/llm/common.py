@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -45,15 +47,23 @@ def texts_of(batch: pa.RecordBatch, name: str = "__text") -> list[bytes]:
     return [t or b"" for t in batch[name].cast(pa.binary()).to_pylist()]
 
 
+def per_worker(key: tuple, make: Callable):
+    """What ``make`` returns, made once in each Python worker."""
+    held = sys.__dict__.setdefault("_rastrum_held", {})
+    if key not in held:
+        held[key] = make()
+    return held[key]
+
+
 def with_row_key(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Add ``__id`` and ``__tag``, neither ever null: the id, and a short hash of
+    """Add ``__id`` and ``__tag``, neither ever null: the id, and a 64-bit hash of
     the text and of whether there is an id.
 
     Rows that share both are repeated rows; they get the same result from any
     operator, so one key for them is enough.
     """
     known = F.col(id_col).cast("long")
-    return docs.withColumn("__tag", F.hash(F.col(text_col), known.isNull())).withColumn("__id", F.coalesce(known, F.lit(-(1 << 63))))
+    return docs.withColumn("__tag", F.xxhash64(F.col(text_col), known.isNull())).withColumn("__id", F.coalesce(known, F.lit(-(1 << 63))))
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

@@ -94,7 +94,10 @@ def _by_broadcast(keyed: DataFrame, items: DataFrame, n: int) -> DataFrame:
             new = [pa.array(counts, pa.int64()), pa.array(hit, pa.list_(pa.int32())), pa.array(named, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays([*b.columns, *new], names=[*b.schema.names, "__n_words", "__hit", "__items"])
 
-    return keyed.mapInArrow(run, T.StructType([*keyed.schema.fields, *T._parse_datatype_string("__n_words long, __hit array<int>, __items array<string>").fields]))
+    return keyed.mapInArrow(run, T.StructType([*keyed.schema.fields, *_HITS]))
+
+
+_HITS = (T.StructField("__n_words", T.LongType()), T.StructField("__hit", T.ArrayType(T.IntegerType())), T.StructField("__items", T.ArrayType(T.StringType())))
 
 
 def _by_join(keyed: DataFrame, items: DataFrame, n: int) -> DataFrame:
@@ -111,9 +114,9 @@ def _by_join(keyed: DataFrame, items: DataFrame, n: int) -> DataFrame:
             for i, t in enumerate(texts_of(b)):
                 words = words_of(t)
                 rows = [{"__id": b["__id"][i].as_py(), "__tag": b["__tag"][i].as_py(), "w": b" ".join(words[s : s + k]), "s": s, "len": k} for k in lengths for s in range(len(words) - k + 1)]
-                yield pa.RecordBatch.from_pylist(rows, pa.schema([("__id", pa.int64()), ("__tag", pa.int32()), ("w", pa.binary()), ("s", pa.int32()), ("len", pa.int32())]))
+                yield pa.RecordBatch.from_pylist(rows, pa.schema([("__id", pa.int64()), ("__tag", pa.int64()), ("w", pa.binary()), ("s", pa.int32()), ("len", pa.int32())]))
 
-    places = keyed.dropDuplicates(["__id", "__tag"]).select("__id", "__tag", "__text").mapInArrow(doc_windows, "__id long, __tag int, w binary, s int, len int")
+    places = keyed.dropDuplicates(["__id", "__tag"]).select("__id", "__tag", "__text").mapInArrow(doc_windows, "__id long, __tag long, w binary, s int, len int")
     met = places.join(wanted.withColumnRenamed("len", "l"), "w")
     found = met.groupBy("__id", "__tag").agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.sequence("s", F.col("s") + F.col("len") - 1))))).alias("__hit"),

@@ -69,7 +69,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([b["id"], b["__id"], b["__tag"], found], names=["id", "__id", "__tag", "__fp"])
 
     keyed = with_row_key(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("__text")), "id", "__text")
-    return keyed.mapInArrow(run, "id long, __id long, __tag int, __fp long")
+    return keyed.mapInArrow(run, "id long, __id long, __tag long, __fp long")
 
 
 def _signed(mask: int) -> int:

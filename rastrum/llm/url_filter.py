@@ -52,7 +52,7 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     for text, _ in sorted(rules, key=lambda r: (-len(r[0]), r[0])):
         own, slash, start = text.partition("/")
         fits.append(F.when(((host == own) | F.endswith(host, F.lit("." + own))) & F.startswith(path, F.lit(slash + start)), F.lit(text)))
-    return F.coalesce(*fits)
+    return F.coalesce(*fits, F.lit(None))
 
 
 def lexical(url: str, host: str, path: str) -> list[float]:

@@ -5,7 +5,8 @@ partition; dynamic programming hands each partition its own threshold, -1 to
 leave it out, so that the thresholds add up to ``radius - partitions + 1``: two
 fingerprints within the radius then agree on some partition within its
 threshold.  Partition values are probed for a second fingerprint, and the
-fingerprints that find one are verified by exact distance.
+fingerprints that find one are narrowed to those that share whole blocks of bits
+with another one, then verified by exact distance.
 
 Verification emits no pairs: each fingerprint is put under every value that
 differs from it in at most one bit.  Two fingerprints within two bits of each
@@ -19,7 +20,9 @@ group unless it has no other; repeated rows stay; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -144,19 +147,21 @@ def allocate(costs: list[list[float]], budget: int) -> tuple[float, list[int]]:
 def plan(fps: DataFrame, radius: int = RADIUS) -> list[tuple[list[int], int]]:
     """(bits, threshold) of each partition that is probed.
 
-    For two to ``radius + 2`` partitions the pairs that agree on a partition are
-    counted over all fingerprints; a larger threshold is taken to multiply them
-    by the values in its ball.  A probe costs as much as a candidate.
+    For two to ``radius + 2`` partitions the fingerprints that share a value of a
+    partition are counted over all of them; a larger threshold is taken to
+    multiply them by the values in its ball.  A candidate costs as much as its
+    keys in the check that follows, a probe costs one.
     """
     total, counts = bit_counts(fps)
     layouts = {m: correlated_partitions(total, counts, m) for m in range(2, radius + 3)}
     masks = [(m, i, _signed(sum(1 << b for b in g))) for m, groups in layouts.items() for i, g in enumerate(groups)]
     values = fps.select(F.explode(F.array(*(F.struct(F.lit(m).alias("m"), F.lit(i).alias("i"), F.col("fp").bitwiseAND(F.lit(mask)).alias("v")) for m, i, mask in masks))).alias("x")).select("x.*")
-    meets = values.groupBy("m", "i", "v").count().groupBy("m", "i").agg(F.sum(F.col("count").cast("double") * (F.col("count") - 1) / 2).alias("pairs"))
-    pairs = {(r["m"], r["i"]): r["pairs"] for r in meets.collect()}  # one row per partition
+    meets = values.groupBy("m", "i", "v").count().where("count > 1").groupBy("m", "i").agg(F.sum("count").alias("n"))
+    found = {(r["m"], r["i"]): r["n"] for r in meets.collect()}  # one row per partition
     best = None
     for m, groups in layouts.items():
-        costs = [[0.0] + [(total + pairs.get((m, i), 0.0)) * ball(len(g), t) for t in range(radius + 1)] for i, g in enumerate(groups)]
+        keys = math.comb(radius + 2, 2)
+        costs = [[0.0] + [(total + keys * min(total, found.get((m, i), 0) * b)) + total * (b - 1) for t in range(radius + 1) for b in (ball(len(g), t),)] for i, g in enumerate(groups)]
         cost, chosen = allocate(costs, radius - m + 1)
         if best is None or cost < best[0]:
             best = (cost, [(g, t) for g, t in zip(groups, chosen, strict=True) if t >= 0])
@@ -178,6 +183,17 @@ def candidates(fps: DataFrame, partitions: list[tuple[list[int], int]]) -> DataF
     return asked.join(held, ["part", "v"]).where("n >= least").select("fp").distinct()
 
 
+def narrowed(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Of the candidates, those that share all but ``radius`` of ``radius + 2``
+    blocks of bits with another one; no two within the radius are lost."""
+    step = BITS // (radius + 2)
+    block = [((1 << step) - 1) << step * i for i in range(radius + 2)]
+    keys = [F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(_signed(a | b))).alias("v")) for k, (a, b) in enumerate(combinations(block, 2))]
+    spread = fps.select("fp", F.explode(F.array(*keys)).alias("x")).select("fp", "x.k", "x.v")
+    shared = spread.groupBy("k", "v").agg(F.count("*").alias("n")).where("n > 1").select("k", "v")
+    return spread.join(shared, ["k", "v"]).select("fp").distinct()
+
+
 def links(fps: DataFrame) -> DataFrame:
     """(a, b): edges that connect exactly the fingerprints within two bits of each other, by way of others or directly."""
     shifts = [0, *(_signed(1 << b) for b in range(BITS))]
@@ -192,7 +208,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     smallest fingerprint and component the smallest id reachable."""
     rows = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
     fps = materialize(rows.groupBy(F.col("__fp").alias("fp")).agg(F.min("id").alias("first")), "distinct")
-    near = links(candidates(fps, plan(fps)))
+    near = links(narrowed(materialize(candidates(fps, plan(fps)), "candidates")))
     reach = connected_components(near).withColumnRenamed("node", "fp")
     groups = fps.join(reach, "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("__group"))
     smallest = groups.groupBy("__group").agg(F.min("first").alias("component"))

@@ -75,7 +75,7 @@ def test_simhash_links_by_way_of_others(spark):
     seeds = [int(x) for x in rng.integers(0, 1 << 63, 40)]
     fps = {s ^ (1 << a) ^ (1 << b) if a != b else s for s in seeds for a, b in rng.integers(0, 63, (12, 2)).tolist()} | set(seeds)
     table = spark.createDataFrame([(f, 1) for f in fps], "fp long, first long")
-    got = {(r["a"], r["b"]) for r in simhash.links(simhash.candidates(table, simhash.plan(table))).collect()}
+    got = {(r["a"], r["b"]) for r in simhash.links(simhash.narrowed(simhash.candidates(table, simhash.plan(table)))).collect()}
 
     def classes(edges):
         top = {f: f for f in fps}

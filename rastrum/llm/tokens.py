@@ -39,14 +39,14 @@ from tokenizers import Tokenizer
 from rastrum.llm.common import materialize, new_path, per_worker
 
 END = 2
-SAMPLE_DOCS, SAMPLE_IDS = 2000, 2048
+SAMPLE_DOCS, SAMPLE_IDS = 1000, 2048
 DICTIONARY_BYTES = 1 << 16
-LEVEL = 3
+LEVEL = 1
 SHARD_BYTES = 8 << 20
 #: Pieces of text whose ids a worker keeps.
 MOST_KEPT = 1_000_000
 
-_AMBIGUOUS = re.compile(r"\s \s")
+_RUN = re.compile(r"\s\s|\x00")
 _CUT = re.compile(r"(?<=\S)(?= )")
 
 
@@ -55,8 +55,8 @@ class Encoder:
     encoded once and kept.
 
     No match of a byte-level pre-tokeniser goes on over a space after something
-    visible, so pieces cut there have the ids that they have in the text.  A
-    space after white space is a cut too if something visible follows.
+    visible, so pieces cut there have the ids that they have in the text.  Where
+    no white space stands next to other, line breaks are pieces too.
     """
 
     def __init__(self, path: str):
@@ -70,10 +70,9 @@ class Encoder:
 
     @staticmethod
     def pieces(text: str) -> list[str]:
-        if _AMBIGUOUS.search(text):
+        if _RUN.search(text):
             return _CUT.split(text)
-        first, *rest = text.split(" ")
-        return [first, *map(" ".__add__, rest)]
+        return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
 
     def _learn(self, new: list[str]) -> None:
         """Encode pieces in runs and cut the ids where the pieces' bytes end; one

@@ -44,7 +44,7 @@ DICTIONARY_BYTES = 1 << 16
 LEVEL = 1
 SHARD_BYTES = 8 << 20
 #: Pieces of text whose ids a worker keeps.
-MOST_KEPT = 1_000_000
+MOST_KEPT = 400_000
 
 _RUN = re.compile(r"\s\s|\x00")
 _CUT = re.compile(r"(?<=\S)(?= )")
@@ -101,7 +101,7 @@ def _encoder(path: str) -> Encoder:
     return per_worker(("tokens", path), lambda: Encoder(path))
 
 
-def _blocks(texts: list[str], most: int = 1 << 22) -> Iterator[list[str]]:
+def _blocks(texts: list[str], most: int = 1 << 21) -> Iterator[list[str]]:
     block, size = [], 0
     for t in texts:
         block.append(t)

@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -44,10 +45,11 @@ DICTIONARY_BYTES = 1 << 16
 LEVEL = 1
 SHARD_BYTES = 8 << 20
 #: Pieces of text whose ids a worker keeps.
-MOST_KEPT = 400_000
+MOST_KEPT = 600_000
 
 _RUN = re.compile(r"\s\s|\x00")
 _CUT = re.compile(r"(?<=\S)(?= )")
+_MARKS = tuple(".,;:!?")
 
 
 class Encoder:
@@ -76,7 +78,11 @@ class Encoder:
 
     def _learn(self, new: list[str]) -> None:
         """Encode pieces in runs and cut the ids where the pieces' bytes end; one
-        with white space next to a cut is encoded alone."""
+        with white space next to a cut is encoded alone.  A word with a mark at
+        its end is put together from both."""
+        ends = {p: p[:-1] for p in new if p[-1:] in _MARKS and p[-2:-1].isalnum() and p[-2:-1].isascii()}  # no match goes on from a letter to a mark
+        stems = set(ends.values()).union(_MARKS).difference(self.kept)
+        new = list(stems.union(p for p in new if p not in ends))
         inner = lambda p: p[:1] == " " and not p[1:2].isspace() and not p[-1:].isspace()
         spaced = list(filter(inner, new))
         alone = [p for p in new if not inner(p)]
@@ -85,9 +91,10 @@ class Encoder:
         runs = [spaced[at : at + 32] for at in range(0, len(spaced), 32)]
         for run, e in zip(runs, self.tokenizer.encode_batch_fast(list(map("".join, runs)), add_special_tokens=False), strict=True):
             ids = np.array(e.ids, "<u4")
-            raw, ends = ids.tobytes(), np.cumsum([len(p.encode()) for p in run])
-            ends = (4 * np.searchsorted(np.cumsum(self.width[ids]), ends) + 4).tolist()
-            self.kept.update(zip(run, map(raw.__getitem__, map(slice, [0, *ends], ends)), strict=True))
+            raw, stops = ids.tobytes(), np.cumsum([len(p.encode()) for p in run])
+            cuts = (4 * np.searchsorted(np.cumsum(self.width[ids]), stops) + 4).tolist()
+            self.kept.update(zip(run, map(raw.__getitem__, map(slice, [0, *cuts], cuts)), strict=True))
+        self.kept.update((p, self.kept[stem] + self.kept[p[-1]]) for p, stem in ends.items())
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [self.pieces(t) for t in texts]
@@ -101,15 +108,14 @@ def _encoder(path: str) -> Encoder:
     return per_worker(("tokens", path), lambda: Encoder(path))
 
 
-def _blocks(texts: list[str], most: int = 1 << 21) -> Iterator[list[str]]:
-    block, size = [], 0
-    for t in texts:
-        block.append(t)
-        size += len(t)
-        if size >= most:
-            yield block
-            block, size = [], 0
-    yield block
+def _blocks(texts: pa.Array, most: int = 1 << 21) -> Iterator[pa.Array]:
+    """Slices of about ``most`` bytes, at least one text each."""
+    size = pc.cumulative_sum(pc.binary_length(texts).cast(pa.int64())).to_numpy()
+    at = 0
+    while at < len(texts):
+        stop = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most, side="right")))
+        yield texts.slice(at, stop - at)
+        at = stop
 
 
 def train_dictionary(docs: DataFrame, vocabulary: str, n_docs: int = SAMPLE_DOCS, n_ids: int = SAMPLE_IDS) -> bytes:
@@ -159,8 +165,8 @@ def write(docs: DataFrame, out: str, vocabulary: str, id_col: str = "doc_id", te
         last = np.array([end], "<u4").tobytes()
         for b in batches:
             at = 0
-            for block in _blocks(b["text"].to_pylist()):
-                ids = [i + last for i in _encoder(vocabulary).encode(block)]
+            for block in _blocks(b["text"]):
+                ids = [i + last for i in _encoder(vocabulary).encode(block.to_pylist())]
                 frames = pa.array([packer.compress(i) for i in ids], pa.binary())
                 yield pa.RecordBatch.from_arrays([b["id"].slice(at, len(block)), pa.array([len(i) // 4 for i in ids], pa.int64()), frames], names=["id", "n_tokens", "frame"])
                 at += len(block)

@@ -18,11 +18,11 @@ other columns are left alone, but for names that begin with two underscores.
 from __future__ import annotations
 
 import base64
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import tiktoken
 from pyspark.sql import DataFrame
@@ -35,6 +35,8 @@ CHUNK = 1 << 15
 OVERLAP = 1 << 10
 #: No match looks further than so many characters past its end.
 LOOK = 3
+#: Rows are encoded and decoded by so many bytes of text or ids at a time.
+PART_BYTES = 1 << 21
 
 
 def _encoding(path: str, pattern: str) -> tiktoken.Encoding:
@@ -55,6 +57,16 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *arrays])))
 
 
+def _parts(b: pa.RecordBatch, size: pa.Array) -> Iterator[pa.RecordBatch]:
+    """Slices of about ``PART_BYTES``, at least one row each."""
+    ends = pc.cumulative_sum(pc.fill_null(size.cast(pa.int64()), 0)).to_numpy()
+    at = 0
+    while at < len(b):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PART_BYTES, side="right")))
+        yield b.slice(at, stop - at)
+        at = stop
+
+
 def boundaries(chunk: str, pattern: regex.Pattern, last: bool, overlap: int, step: int) -> tuple[list[int], list[int]]:
     """Stitches a chunk offers in its first and in its last overlap, as offsets from its start."""
     sure = len(chunk) if last else len(chunk) - LOOK
@@ -65,12 +77,13 @@ def boundaries(chunk: str, pattern: regex.Pattern, last: bool, overlap: int, ste
 def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """The documents' rows with ``token_ids``."""
     keyed = with_row_key(docs.withColumn("__text", F.coalesce(F.col(text_col).cast("string"), F.lit(""))), id_col, "__text")
-    with_ids = T.StructType([*keyed.schema.fields, T.StructField("token_ids", T.ArrayType(T.IntegerType()))])
+    with_ids = T.StructType([*keyed.drop("__text").schema.fields, T.StructField("token_ids", T.ArrayType(T.IntegerType()))])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = _encoding(vocabulary, pattern)
         for b in batches:
-            yield b.append_column("token_ids", _lists([_ids(encoding, t.as_py()) for t in b["__text"]]))
+            for part in _parts(b, pc.binary_length(b["__text"])):
+                yield part.drop_columns(["__text"]).append_column("token_ids", _lists([_ids(encoding, t.as_py()) for t in part["__text"]]))
 
     short = keyed.where(F.char_length("__text") <= chunk + overlap).mapInArrow(whole, with_ids)
     long = keyed.where(F.char_length("__text") > chunk + overlap)
@@ -108,8 +121,9 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = _encoding(vocabulary, pattern)
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b["__id"], b["__tag"], b["k"], _lists([_ids(encoding, t.as_py()) for t in b["__text"]])], names=["__id", "__tag", "k", "ids"])
+        for whole_batch in batches:
+            for b in _parts(whole_batch, pc.binary_length(whole_batch["__text"])):
+                yield pa.RecordBatch.from_arrays([b["__id"], b["__tag"], b["k"], _lists([_ids(encoding, t.as_py()) for t in b["__text"]])], names=["__id", "__tag", "k", "ids"])
 
     parts = pieces.mapInArrow(part, "__id long, __tag long, k int, ids array<int>")
     joined = parts.groupBy("__id", "__tag").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))), lambda p: p["ids"])).alias("token_ids"))
@@ -124,20 +138,18 @@ def decode(encoded: DataFrame, vocabulary: str, pattern: str, ids_col: str = "to
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = _encoding(vocabulary, pattern)
         for b in batches:
-            yield b.append_column("decoded", pa.array([encoding.decode_bytes(ids or []) for ids in b[ids_col].to_pylist()], pa.binary()))
+            for part in _parts(b, pc.multiply(pc.list_value_length(b[ids_col]), 4)):
+                yield part.append_column("decoded", pa.array([encoding.decode_bytes(ids or []) for ids in part[ids_col].to_pylist()], pa.binary()))
 
     return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType())]))
 
 
 def digest(decoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            lists = [ids or [] for ids in b["token_ids"].to_pylist()]
-            sums = [hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest() for ids in lists]
-            raw = [hashlib.sha256(d.as_py()).hexdigest() for d in b["decoded"]]
-            yield pa.RecordBatch.from_arrays([b[id_col], pa.array(list(map(len, lists)), pa.int64()), pa.array(sums, pa.string()), pa.array(raw, pa.string())], names=_DIGEST.names if id_col == "doc_id" else [id_col, *_DIGEST.names[1:]])
-
-    return decoded.select(id_col, "token_ids", "decoded").mapInArrow(run, T.StructType([decoded.schema[id_col], *_DIGEST.fields[1:]]))
-
-
-_DIGEST = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
+    """Digests of ``token_ids`` and ``decoded``; null ids are no ids."""
+    ids = F.coalesce("token_ids", F.array().cast("array<int>"))
+    return decoded.select(
+        id_col,
+        F.size(ids).cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(ids.cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )

@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rastrum.llm import bpe, decontam, quality, secrets, simhash
+from rastrum.llm import bpe, decontam, near, quality, secrets
 from rastrum.llm.common import materialize
 
 
@@ -19,8 +19,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    return simhash.dedup(docs)
+    """One document of each group of near copies: five-word shingles, Jaccard 0.8 or more."""
+    return near.dedup(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

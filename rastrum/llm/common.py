@@ -2,30 +2,37 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import tempfile
 import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN_DIR: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` of the session.
+    """The folder all executors share: ``spark.checkpoint.dir`` of the session, or
+    what ``setCheckpointDir`` was given.
 
-    Only where the cluster names none (a local test) is a folder made here.
+    Only a session on this machine alone gets a folder of its own if it names
+    none; on a cluster that is refused, as other executors couldn't read it.
     """
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir")
+    if not named and (given := context._jsc.sc().getCheckpointDir()).isDefined():
+        named = given.get()
     if named:
         return named.rstrip("/")
-    app = spark.sparkContext.applicationId
+    if not re.match(r"local(\[|$)", context.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    app = context.applicationId
     if app not in _OWN_DIR:
         _OWN_DIR[app] = "file://" + tempfile.mkdtemp(prefix="rastrum-")
-        spark.sparkContext.setCheckpointDir(_OWN_DIR[app])
     return _OWN_DIR[app]
 
 
@@ -39,7 +46,41 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what ``materialize`` wrote for tables that nothing reads any more."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df._written_at)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def veiled(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The table with its columns called ``__c0``, ``__c1``, ..., and each one's name there.
+
+    No name of the table's can then clash with one that an operator uses."""
+    names = {c: f"__c{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
+def unveiled(df: DataFrame, names: dict[str, str], *new: Column) -> DataFrame:
+    """The table's own columns under their names, then ``new``.
+
+    A column of the table that has the name of a new one is called that name
+    with ``_in`` appended, as often as it takes to be free."""
+    added = df.select(*new).columns
+    taken, shown = {*added, *names}, []
+    for name, c in names.items():
+        to = name
+        while to in added or (to != name and to in taken):
+            to += "_in"
+        taken.add(to)
+        shown.append(F.col(c).alias(to))
+    return df.select(*shown, *new)
 
 
 def texts_of(batch: pa.RecordBatch, name: str = "__text") -> list[bytes]:
@@ -83,7 +124,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         best = told.select("a", "said").unionByName(told.select(F.col("c").alias("a"), "said")).groupBy("a").agg(F.min("said").alias("said"))
         hooked = materialize(labels.join(best, "a", "left").select("a", F.col("c").alias("old"), F.least("c", "said").alias("c")), "labels")
         jumped = hooked.join(hooked.select(F.col("a").alias("c"), F.col("c").alias("top")), "c").select("a", "old", F.least("c", "top").alias("c"))
-        labels = materialize(jumped, "labels")
+        before, labels = labels, materialize(jumped, "labels")
+        discard(before, hooked)
         if labels.where("c <> old").isEmpty():
+            discard(both)
             return labels.select(F.col("a").alias("node"), F.col("c").alias("component"))
-        labels = labels.select("a", "c")

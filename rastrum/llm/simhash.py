@@ -4,25 +4,26 @@ A fingerprint has 64 bits.  Bits that go together in the data are put in one
 partition; dynamic programming hands each partition its own threshold, -1 to
 leave it out, so that the thresholds add up to ``radius - partitions + 1``: two
 fingerprints within the radius then agree on some partition within its
-threshold.  Partition values are probed for a second fingerprint, and the
-fingerprints that find one are narrowed to those that share whole blocks of bits
-with another one, then verified by exact distance.
+threshold.  Every fingerprint is filed under its own value of each partition and
+probes the values within the partition's threshold; who meets under a value is
+verified by exact distance, and these pairs are the links.
 
-Verification emits no pairs: each fingerprint is put under every value that
-differs from it in at most one bit.  Two fingerprints within two bits of each
-other meet under such a value, at most 65 distinct ones can, and all are linked
-to the smallest of them, which keeps what is reachable from what.
+Copies of a text have one fingerprint and are one node.  A value under which more
+than ``MOST`` fingerprints meet is not paired off: its fingerprints are put under
+every value of all 64 bits that differs from theirs in at most one bit.  Two
+within two bits of each other meet under such a value, at most 65 can, and all
+are linked to the smallest of them, which keeps what is reachable from what.
 
 Defined results: a null or empty text has no words and fingerprint zero, which
 links like any other; null ids take part but are never the smallest id of a
-group unless it has no other; repeated rows stay; an empty table gives no rows.
+group unless it has no other; repeated rows stay, ``dedup`` keeps one of them; an
+empty table gives no rows; other columns are left alone, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -31,12 +32,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rastrum.llm.common import connected_components, materialize, texts_of, with_row_key
+from rastrum.llm.common import connected_components, materialize, texts_of, unveiled, veiled, with_row_key
 
 BITS = 64
 SHINGLE = 3
 SEED = 42
 RADIUS = 2
+#: More fingerprints than these under one value of a partition are linked by way of their neighbours.
+MOST = 64
 #: At most this many hashes are unpacked to bits at once.
 BLOCK = 1 << 14
 
@@ -55,7 +58,11 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
         stops = (ends[shingle - 1 :] - 1).tolist()
         digest = xxhash.xxh64_intdigest
         hashes = [digest(whole[a:b], seed) for a, b in zip(starts, stops, strict=True)]
-    h = np.array(hashes, dtype="<u8")
+    return majority(np.array(hashes, dtype="<u8"))
+
+
+def majority(h: np.ndarray) -> int:
+    """The fingerprint of unsigned 64-bit hashes."""
     ones = np.zeros(BITS, np.int64)
     for at in range(0, len(h), BLOCK):
         part = h[at : at + BLOCK]
@@ -147,60 +154,61 @@ def allocate(costs: list[list[float]], budget: int) -> tuple[float, list[int]]:
 def plan(fps: DataFrame, radius: int = RADIUS) -> list[tuple[list[int], int]]:
     """(bits, threshold) of each partition that is probed.
 
-    For two to ``radius + 2`` partitions the fingerprints that share a value of a
-    partition are counted over all of them; a larger threshold is taken to
-    multiply them by the values in its ball.  A candidate costs as much as its
-    keys in the check that follows, a probe costs one.
+    For two to ``radius + 1`` partitions the pairs of fingerprints that share a
+    value of a partition are counted over all of them; a larger threshold is taken
+    to multiply them by the values in its ball.  A probe costs one, and
+    so does a candidate pair; in a crowded value a fingerprint costs its neighbours.
     """
     total, counts = bit_counts(fps)
-    layouts = {m: correlated_partitions(total, counts, m) for m in range(2, radius + 3)}
+    layouts = {m: correlated_partitions(total, counts, m) for m in range(2, radius + 2)}
     masks = [(m, i, _signed(sum(1 << b for b in g))) for m, groups in layouts.items() for i, g in enumerate(groups)]
     values = fps.select(F.explode(F.array(*(F.struct(F.lit(m).alias("m"), F.lit(i).alias("i"), F.col("fp").bitwiseAND(F.lit(mask)).alias("v")) for m, i, mask in masks))).alias("x")).select("x.*")
-    meets = values.groupBy("m", "i", "v").count().where("count > 1").groupBy("m", "i").agg(F.sum("count").alias("n"))
+    meets = values.groupBy("m", "i", "v").count().where("count > 1").groupBy("m", "i").agg(F.sum(F.col("count") * F.least(F.col("count") - 1, F.lit(BITS + 1))).alias("n"))
     found = {(r["m"], r["i"]): r["n"] for r in meets.collect()}  # one row per partition
     best = None
     for m, groups in layouts.items():
-        keys = math.comb(radius + 2, 2)
-        costs = [[0.0] + [(total + keys * min(total, found.get((m, i), 0) * b)) + total * (b - 1) for t in range(radius + 1) for b in (ball(len(g), t),)] for i, g in enumerate(groups)]
+        costs = [[0.0] + [total * ball(len(g), t) + found.get((m, i), 0) * ball(len(g), t) for t in range(radius + 1)] for i, g in enumerate(groups)]
         cost, chosen = allocate(costs, radius - m + 1)
         if best is None or cost < best[0]:
             best = (cost, [(g, t) for g, t in zip(groups, chosen, strict=True) if t >= 0])
     return best[1]
 
 
-def candidates(fps: DataFrame, partitions: list[tuple[list[int], int]]) -> DataFrame:
-    """Fingerprints that share a partition's value, within its threshold, with another one."""
-    keys, probes = [], []
+def filed(fps: DataFrame, partitions: list[tuple[list[int], int]]) -> DataFrame:
+    """(part, v, fp, own): every fingerprint under its own values, and under those that it probes."""
+    keys = []
     for i, (bits, t) in enumerate(partitions):
-        own = F.col("fp").bitwiseAND(F.lit(_signed(sum(1 << b for b in bits))))
-        flips = [0]
+        value = F.col("fp").bitwiseAND(F.lit(_signed(sum(1 << b for b in bits))))
+        flips = {0}
         for _ in range(t):
-            flips = sorted({f ^ (1 << b) for f in flips for b in bits} | set(flips))
-        keys.append(F.struct(F.lit(i).alias("part"), own.alias("v")))
-        probes += [F.struct(F.lit(i).alias("part"), own.bitwiseXOR(F.lit(_signed(f))).alias("v"), F.lit(1 if f else 2).alias("least")) for f in flips]
-    held = fps.select(F.explode(F.array(*keys)).alias("k")).groupBy("k.part", "k.v").agg(F.count("*").alias("n"))
-    asked = fps.select("fp", F.explode(F.array(*probes)).alias("k")).select("fp", "k.part", "k.v", "k.least")
-    return asked.join(held, ["part", "v"]).where("n >= least").select("fp").distinct()
-
-
-def narrowed(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Of the candidates, those that share all but ``radius`` of ``radius + 2``
-    blocks of bits with another one; no two within the radius are lost."""
-    step = BITS // (radius + 2)
-    block = [((1 << step) - 1) << step * i for i in range(radius + 2)]
-    keys = [F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(_signed(a | b))).alias("v")) for k, (a, b) in enumerate(combinations(block, 2))]
-    spread = fps.select("fp", F.explode(F.array(*keys)).alias("x")).select("fp", "x.k", "x.v")
-    shared = spread.groupBy("k", "v").agg(F.count("*").alias("n")).where("n > 1").select("k", "v")
-    return spread.join(shared, ["k", "v"]).select("fp").distinct()
-
-
-def links(fps: DataFrame) -> DataFrame:
-    """(a, b): edges that connect exactly the fingerprints within two bits of each other, by way of others or directly."""
+            flips |= {f ^ (1 << b) for f in flips for b in bits}
+        keys += [F.struct(F.lit(i).alias("part"), value.bitwiseXOR(F.lit(_signed(f))).alias("v"), F.lit(not f).alias("own")) for f in sorted(flips)]
+    return fps.select("fp", F.explode(F.array(*keys)).alias("k")).select("k.part", "k.v", "fp", "k.own")
+
+
+def links(fps: DataFrame, partitions: list[tuple[list[int], int]], radius: int = RADIUS, most: int = MOST) -> DataFrame:
+    """(a, b): edges that connect exactly the fingerprints within the radius, of one or two bits, directly or by way of others."""
+    if radius not in (1, 2):
+        raise ValueError("neighbours in one bit connect fingerprints within one or two bits only")
+    rows = filed(fps, partitions)
+    # counted first: what is gathered below has a bound
+    met = rows.groupBy("part", "v").agg(F.count("*").alias("n"), F.count_if("own").alias("owners")).where("owners > 0 and n > 1")
+    met = materialize(met.select("part", "v", "n"), "met")
+    small = rows.join(met.where(F.col("n") <= most).select("part", "v"), ["part", "v"])
+    groups = small.groupBy("part", "v").agg(F.collect_list(F.when(F.col("own"), F.col("fp"))).alias("owners"), F.collect_list("fp").alias("all"))
+    near = F.transform("owners", lambda x: F.transform(F.filter("all", lambda y: (x != y) & (F.bit_count(x.bitwiseXOR(y)) <= radius)), lambda y: F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))))
+    pairs = groups.select(F.explode(F.flatten(near)).alias("p")).select("p.a", "p.b")
+    crowd = rows.join(met.where(F.col("n") > most).select("part", "v"), ["part", "v"]).select("fp").distinct()
+    return pairs.unionByName(neighbour_links(crowd, radius)).distinct()
+
+
+def neighbour_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(a, b): edges that connect exactly the fingerprints within one or two bits, by way of others or directly."""
     shifts = [0, *(_signed(1 << b) for b in range(BITS))]
     spread = fps.select("fp", F.explode(F.transform(F.array(*map(F.lit, shifts)), lambda s: F.col("fp").bitwiseXOR(s))).alias("near"))
     met = spread.groupBy("near").agg(F.array_sort(F.collect_set("fp")).alias("fps")).where("size(fps) > 1")  # 65 at most
     pairs = met.select(F.col("fps")[0].alias("a"), F.explode(F.slice("fps", 2, BITS + 1)).alias("b"))
-    return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2).distinct()
+    return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius).distinct()
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -208,8 +216,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     smallest fingerprint and component the smallest id reachable."""
     rows = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
     fps = materialize(rows.groupBy(F.col("__fp").alias("fp")).agg(F.min("id").alias("first")), "distinct")
-    near = links(narrowed(materialize(candidates(fps, plan(fps)), "candidates")))
-    reach = connected_components(near).withColumnRenamed("node", "fp")
+    reach = connected_components(links(fps, plan(fps))).withColumnRenamed("node", "fp")
     groups = fps.join(reach, "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("__group"))
     smallest = groups.groupBy("__group").agg(F.min("first").alias("component"))
     named = groups.join(smallest, "__group").select(F.col("fp").alias("__fp"), "__group", "component")
@@ -218,8 +225,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each group: the smallest id, a null id last; of repeated rows, one."""
-    groups = near_groups(docs, id_col, text_col)
+    return one_of_each(docs, near_groups(docs, id_col, text_col), id_col, text_col)
+
+
+def one_of_each(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The documents' rows, one of each ``__group`` of rows (id, __id, __tag, __group)."""
     first = F.min(F.struct(F.col("id").isNull(), F.col("__id"), F.col("__tag"))).alias("x")
     keep = groups.groupBy("__group").agg(first).select("x.__id", "x.__tag")
-    kept = with_row_key(docs, id_col, text_col).join(keep, ["__id", "__tag"])
-    return kept.dropDuplicates(["__id", "__tag"]).select(*docs.columns)
+    own, names = veiled(docs)
+    kept = with_row_key(own, names[id_col], names[text_col]).join(keep, ["__id", "__tag"])
+    return unveiled(kept.dropDuplicates(["__id", "__tag"]), names)

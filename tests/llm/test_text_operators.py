@@ -70,12 +70,17 @@ def test_simhash(spark, docs, source):
     assert multiset(shown) == multiset(brute_groups(rows))
 
 
-def test_simhash_links_by_way_of_others(spark):
+HALVES = [(list(range(0, 64, 2)), 1), (list(range(1, 64, 2)), 0)]
+
+
+@pytest.mark.parametrize("partitions", [lambda p: p, lambda p: HALVES], ids=["planned", "halves"])
+@pytest.mark.parametrize("most", [simhash.MOST, 3])
+def test_simhash_links_by_way_of_others(spark, partitions, most):
     rng = np.random.default_rng(1)
     seeds = [int(x) for x in rng.integers(0, 1 << 63, 40)]
     fps = {s ^ (1 << a) ^ (1 << b) if a != b else s for s in seeds for a, b in rng.integers(0, 63, (12, 2)).tolist()} | set(seeds)
     table = spark.createDataFrame([(f, 1) for f in fps], "fp long, first long")
-    got = {(r["a"], r["b"]) for r in simhash.links(simhash.narrowed(simhash.candidates(table, simhash.plan(table)))).collect()}
+    got = {(r["a"], r["b"]) for r in simhash.links(table, partitions(simhash.plan(table)), most=most).collect()}
 
     def classes(edges):
         top = {f: f for f in fps}

@@ -12,7 +12,7 @@ ids' raw bytes.
 
 Defined results: a null text is an empty text and has no ids; a null id is an
 ordinary id; repeated rows stay and get equal ids; an empty table gives no rows;
-other columns are left alone, but for names that begin with two underscores.
+other columns are left alone; one called like a new column gets ``_in`` appended.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rastrum.llm.common import per_worker, with_row_key
+from rastrum.llm.common import materialize, per_worker, unveiled, veiled, with_row_key
 
 CHUNK = 1 << 15
 OVERLAP = 1 << 10
@@ -76,7 +76,8 @@ def boundaries(chunk: str, pattern: regex.Pattern, last: bool, overlap: int, ste
 
 def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """The documents' rows with ``token_ids``."""
-    keyed = with_row_key(docs.withColumn("__text", F.coalesce(F.col(text_col).cast("string"), F.lit(""))), id_col, "__text")
+    docs, names = veiled(docs)
+    keyed = with_row_key(docs.withColumn("__text", F.coalesce(F.col(names[text_col]).cast("string"), F.lit(""))), names[id_col], "__text")
     with_ids = T.StructType([*keyed.drop("__text").schema.fields, T.StructField("token_ids", T.ArrayType(T.IntegerType()))])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,7 +99,8 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id
                     names=["__id", "__tag", "k", "last", "piece"],
                 )
 
-    chunks = long.select("__id", "__tag", "__text").mapInArrow(cut, "__id long, __tag long, k int, last boolean, piece string").dropDuplicates(["__id", "__tag", "k"])
+    # read by three branches: written once
+    chunks = materialize(long.select("__id", "__tag", "__text").mapInArrow(cut, "__id long, __tag long, k int, last boolean, piece string").dropDuplicates(["__id", "__tag", "k"]), "chunks")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compiled = regex.compile(pattern)
@@ -129,7 +131,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id
     joined = parts.groupBy("__id", "__tag").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))), lambda p: p["ids"])).alias("token_ids"))
     stitched = long.join(joined, ["__id", "__tag"]).select(*short.columns)
     unmet = long.join(begins.where("begins is null"), ["__id", "__tag"], "left_semi").select(*keyed.columns).mapInArrow(whole, with_ids)
-    return short.unionByName(stitched).unionByName(unmet).select(*docs.columns, "token_ids")
+    return unveiled(short.unionByName(stitched).unionByName(unmet), names, F.col("token_ids"))
 
 
 def decode(encoded: DataFrame, vocabulary: str, pattern: str, ids_col: str = "token_ids") -> DataFrame:

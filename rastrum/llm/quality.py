@@ -6,14 +6,18 @@ the mean over its n-grams of log p_trusted - log p_raw.  The threshold is fixed
 by labelled documents and applied to every document alike.
 
 Bounds: the trusted multinomial and the threshold are fitted on at most
-``MOST_LABELLED`` labelled documents, those with the smallest hash of their id;
-everything else covers all documents.
+``MOST_LABELLED`` labelled documents, those with the smallest hash of their id:
+the multinomial on the trusted ones of one half by that hash, the threshold on
+the other half (on all if that half lacks a label).  Documents labelled toxic are
+on neither side; the verdict is about quality and isn't meant to find them.
+Everything else covers all documents.
 
 Defined results: a null text has no words; a text shorter than one n-gram
 scores 0; rows without an id are never labelled, and a document labelled both
 ways counts as not trusted; without labels of both kinds nothing is rejected by
-score; repeated rows stay and count as often as they occur; other columns are
-left alone.
+score; repeated rows stay and count as often as they occur; an empty table gives
+no rows; other columns are left alone, one called like a new column gets ``_in``
+appended.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rastrum.llm.common import texts_of
+from rastrum.llm.common import texts_of, unveiled, veiled
 
 NGRAM = 4
 BUCKETS = 1 << 15
@@ -73,30 +77,31 @@ def rules(text: bytes) -> tuple[int, int, int, int, int]:
 
 
 def labelled_ids(labels: DataFrame, id_col: str, label_col: str, most: int = MOST_LABELLED) -> DataFrame:
-    """(__lid, __trusted) of at most ``most`` documents."""
-    known = labels.select(F.col(id_col).cast("long").alias("__lid"), F.col(label_col).alias("__good")).dropna()
+    """(__lid, __trusted) of at most ``most`` documents; those labelled toxic are on neither side."""
+    known = labels.where("not coalesce(toxic, 0) = 1") if "toxic" in labels.columns else labels
+    known = known.select(F.col(id_col).cast("long").alias("__lid"), F.col(label_col).alias("__good")).dropna()
     one = known.groupBy("__lid").agg((F.min("__good") == 1).alias("__trusted"))
     return one.orderBy(F.xxhash64("__lid"), "__lid").limit(most)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = MOST_LABELLED) -> tuple[np.ndarray, float]:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = MOST_LABELLED, label_id: str | None = None) -> tuple[np.ndarray, float]:
     """Each bucket's log-likelihood ratio, and the threshold."""
     spark = docs.sparkSession
-    picked = labelled_ids(labels, id_col, label_col, most).toPandas()  # at most ``most`` rows
-    picked = spark.createDataFrame(picked, "__lid long, __trusted boolean") if len(picked) else spark.createDataFrame([], "__lid long, __trusted boolean")
-    known = docs.select(F.col(id_col).cast("long").alias("__lid"), F.col(text_col).cast("string").alias("__text")).join(F.broadcast(picked), "__lid", "left").select("__text", "__trusted")
+    picked = labelled_ids(labels, label_id or id_col, label_col, most).withColumn("__part", F.pmod(F.xxhash64("__lid"), F.lit(2)).cast("int")).toPandas()  # at most ``most`` rows
+    picked = spark.createDataFrame(list(picked.itertuples(index=False, name=None)), "__lid long, __trusted boolean, __part int")
+    known = docs.select(F.col(id_col).cast("long").alias("__lid"), F.col(text_col).cast("string").alias("__text")).join(F.broadcast(picked), "__lid", "left").select("__text", "__trusted", "__part")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, good = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
         for b in batches:
-            for text, trusted in zip(texts_of(b), b["__trusted"].to_pylist(), strict=True):
+            for text, trusted, part in zip(texts_of(b), b["__trusted"].to_pylist(), b["__part"].to_pylist(), strict=True):
                 for x in ngram_buckets(text):
                     n = np.bincount(x, minlength=BUCKETS) if len(x) > BUCKETS // 8 else x
                     if n is x:
                         np.add.at(raw, x, 1)
                     else:
                         raw += n
-                    if trusted:
+                    if trusted and part == 0:
                         np.add.at(good, x, 1)
         at = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(raw[at]), pa.array(good[at])], names=["bucket", "raw", "good"])
@@ -109,9 +114,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([mean_ratio(t, ratio) for t in texts_of(b)], pa.float64()), b["__trusted"]], names=["score", "trusted"])
+            yield pa.RecordBatch.from_arrays([pa.array([mean_ratio(t, ratio) for t in texts_of(b)], pa.float64()), b["__trusted"], b["__part"]], names=["score", "trusted", "part"])
 
-    seen = known.where("__trusted is not null").mapInArrow(score, "score double, trusted boolean").toPandas()
+    seen = known.where("__trusted is not null").mapInArrow(score, "score double, trusted boolean, part int").toPandas()
+    apart = seen[seen["part"] == 1]
+    seen = apart if apart["trusted"].nunique() == 2 else seen
     return ratio, threshold(seen["score"].to_numpy(float), seen["trusted"].to_numpy(bool))
 
 
@@ -140,11 +147,10 @@ def threshold(scores: np.ndarray, trusted: np.ndarray) -> float:
     return float((s[k] + s[k + 1]) / 2)
 
 
-def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = MOST_LABELLED) -> DataFrame:
-    """The documents' rows with the rules' counts, ``__score``, ``__base_failed`` and ``__kept``."""
-    ratio, least = fit(docs, labels, id_col, text_col, label_col, most)
-    spark = docs.sparkSession
-    held = spark.sparkContext.broadcast(ratio)  # BUCKETS numbers
+def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = MOST_LABELLED, label_id: str | None = None) -> DataFrame:
+    """The documents' rows with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, score, base_failed and kept."""
+    ratio, least = fit(docs, labels, id_col, text_col, label_col, most, label_id)
+    held = docs.sparkSession.sparkContext.broadcast(ratio)  # BUCKETS numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -153,17 +159,20 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             scores = np.array([mean_ratio(t, held.value) for t in texts], float)
             failed = (counts[:, 0] < LEAST_WORDS) | (100 * counts[:, 4] > MOST_REPEATED * counts[:, 0])
             new = [*(pa.array(c) for c in counts.T), pa.array(scores), pa.array(failed), pa.array(~failed & (scores >= least))]
-            yield pa.RecordBatch.from_arrays([*b.columns, *new], names=[*b.schema.names, *_ADDED.names])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *new], names=[*b.schema.names[:-1], *_ADDED.names])
 
-    wide = docs.withColumn("__text", F.col(text_col).cast("string"))
-    return wide.mapInArrow(run, T.StructType([*wide.schema.fields, *_ADDED.fields])).drop("__text")
+    own, names = veiled(docs)
+    wide = own.withColumn("__text", F.col(names[text_col]).cast("string"))
+    return unveiled(wide.mapInArrow(run, T.StructType([*own.schema.fields, *_ADDED.fields])), names, *map(F.col, _ADDED.names))
 
 
 _ADDED = T.StructType(
-    [T.StructField(f"__{c}", T.LongType()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
-    + [T.StructField("__score", T.DoubleType()), T.StructField("__base_failed", T.BooleanType()), T.StructField("__kept", T.BooleanType())]
+    [T.StructField(c, T.LongType()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+    + [T.StructField("score", T.DoubleType()), T.StructField("base_failed", T.BooleanType()), T.StructField("kept", T.BooleanType())]
 )
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
-    return judge(docs, labels, **how).where("__kept").select(*docs.columns)
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The documents that the rules keep, with their columns."""
+    own, names = veiled(docs)
+    return unveiled(judge(own, labels, names[id_col], names[text_col], label_id=id_col, **how).where("kept"), names)

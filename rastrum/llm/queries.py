@@ -32,7 +32,7 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels"))
     counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
-    return judged.select("doc_id", *(F.col(f"__{c}").alias(c) for c in counts))
+    return judged.select("doc_id", *counts)
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

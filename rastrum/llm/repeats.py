@@ -15,8 +15,8 @@ whole order; of strings that are compared, the anchors' names are equal too.
 
 Defined results: a null text is empty; texts shorter than ``length`` are never
 touched; null ids take part; repeated rows are copies of each other; an empty
-table gives no rows; other columns are left alone, but for names that begin with
-two underscores.
+table gives no rows; other columns are left alone, one called like a new column
+gets ``_in`` appended.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rastrum.llm.common import materialize, per_worker, texts_of, with_row_key
+from rastrum.llm.common import materialize, per_worker, texts_of, unveiled, veiled, with_row_key
 
 LENGTH = 400
 ANCHOR = 100
@@ -213,7 +213,8 @@ def _without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, **how) -> DataFrame:
     """The documents' rows with ``n_bytes``, ``n_removed``, ``n_spans``, ``kept``
     (the bytes that stay; a character may be cut) and ``kept_sha256``."""
-    keyed = with_row_key(docs.withColumn("__text", F.coalesce(F.col(text_col).cast("string"), F.lit(""))), id_col, "__text")
+    docs, names = veiled(docs)
+    keyed = with_row_key(docs.withColumn("__text", F.coalesce(F.col(names[text_col]).cast("string"), F.lit(""))), names[id_col], "__text")
     both = keyed.join(covered(keyed, length, **how), ["__id", "__tag"], "left").select(*docs.columns, "__text", "__runs")
     own = docs.columns
 
@@ -231,7 +232,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
             ]
             yield pa.RecordBatch.from_arrays([*(b[c] for c in own), *new], names=[*own, *_ADDED_NAMES])
 
-    return both.mapInArrow(run, T.StructType([*docs.schema.fields, *_ADDED.fields]))
+    return unveiled(both.mapInArrow(run, T.StructType([*docs.schema.fields, *_ADDED.fields])), names, *map(F.col, _ADDED_NAMES))
 
 
 _ADDED_NAMES = ["n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"]

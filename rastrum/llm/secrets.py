@@ -9,7 +9,7 @@ verified on every document.
 
 Defined results: a null text is an empty text; a null id is an ordinary id;
 repeated rows give repeated, equal results; an empty table gives no rows; other
-columns of the table are ignored whatever their names.
+columns are left alone, one called ``secret_spans`` gets ``_in`` appended.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from re import _parser as parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rastrum.llm.common import with_row_key
+from rastrum.llm.common import materialize, unveiled, veiled, with_row_key
 
 
 @dataclass(frozen=True)
@@ -50,6 +50,8 @@ RULES = (
 )
 
 MOST_STRINGS = 64
+#: Size of the table that says which texts may have candidate rules.
+BITS = 1 << 20
 
 
 def _trigrams(s: str) -> frozenset[str]:
@@ -178,51 +180,72 @@ def _spans(rule: Rule, rank: int, matches: Column, pieces: Column) -> Column:
     return walked
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules=RULES, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per document: id, text, the columns in ``keep`` and ``secret_spans``,
-    an array of (start, rank, stop, kind) sorted by start, then rule order; code
-    points, end exclusive."""
-    base = docs.select(F.col(id_col), *(F.col(c) for c in keep if c not in (id_col, text_col)), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"))
-    base = with_row_key(base, id_col, "__text")
-    out = base.join(candidates(base, rules), ["__id", "__tag"], "left")
-    indexed = {r.kind for r in rules if trigram_query(r.pattern)}
-    none = F.array().cast("array<string>")
+def _bit() -> Column:
+    return F.pmod(F.xxhash64("__id", "__tag"), F.lit(BITS)).cast("int")
+
+
+def _verified(docs: DataFrame, rules, kinds: Column | None) -> DataFrame:
+    """Adds ``__spans``; without ``kinds`` only rules that every text is verified with are tried."""
+    spans, none, out = [], F.array().cast("array<string>"), docs
     for i, rule in enumerate(rules):
+        indexed = bool(trigram_query(rule.pattern))
+        if indexed and kinds is None:
+            continue
         # a run of a class that stays below the minimum can't be a match: leave it to the matcher
         pattern = rule.pattern
         if not rule.group and pattern.endswith("]+") and pattern.startswith("[") and pattern.count("[") == 1:
             pattern = f"{pattern[:-1]}{{{rule.at_least},}}"
         hits = F.regexp_extract_all("__text", F.lit(pattern), F.lit(0))
-        if rule.kind in indexed:
-            hits = F.when(F.array_contains("__kinds", rule.kind), hits).otherwise(none)
+        if indexed:
+            hits = F.when(F.array_contains(kinds, rule.kind), hits).otherwise(none)
         out = out.withColumn(f"__m{i}", hits)
         out = out.withColumn(f"__p{i}", F.when(F.size(f"__m{i}") > 0, F.split("__text", pattern, -1)).otherwise(none))
-    spans = [F.when(F.size(f"__m{i}") > 0, _spans(r, i, F.col(f"__m{i}"), F.col(f"__p{i}"))).otherwise(F.array().cast(_SPAN)) for i, r in enumerate(rules)]
-    out = out.withColumn("secret_spans", F.array_sort(F.concat(*spans)))
-    return out.select(id_col, *(c for c in keep if c not in (id_col, text_col)), F.col("__text").alias(text_col), "secret_spans")
+        spans.append(F.when(F.size(f"__m{i}") > 0, _spans(rule, i, F.col(f"__m{i}"), F.col(f"__p{i}"))).otherwise(F.array().cast(_SPAN)))
+    return out.withColumn("__spans", F.array_sort(F.concat(F.array().cast(_SPAN), *spans))).select(*docs.columns, "__spans")
+
+
+def _scan(docs: DataFrame, id_col: str, rules) -> DataFrame:
+    """Adds ``__spans``.  Candidates' keys go to a table of ``BITS`` bits; only texts
+    whose bit is set are shuffled, to meet their candidate rules."""
+    base = with_row_key(docs, id_col, "__text").withColumn("__bit", _bit())
+    kinds = materialize(candidates(base, rules), "candidates")
+    some = F.broadcast(kinds.select(_bit().alias("__bit")).distinct())  # BITS rows at most
+    rest = base.join(some, "__bit", "left_anti").select(*base.columns)
+    few = base.join(some, "__bit", "left_semi").select(*base.columns).join(kinds, ["__id", "__tag"], "left")
+    met = _verified(few, rules, F.col("__kinds")).select(*base.columns, "__spans")
+    return _verified(rest, rules, None).unionByName(met)
+
+
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules=RULES) -> DataFrame:
+    """The documents' rows with ``secret_spans``, an array of (start, rank, stop,
+    kind) sorted by start, then rule order; code points, end exclusive."""
+    own, names = veiled(docs)
+    found = _scan(own.withColumn("__text", F.coalesce(F.col(names[text_col]).cast("string"), F.lit(""))), names[id_col], rules)
+    return unveiled(found, names, F.col("__spans").alias("secret_spans"))
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]", rules=RULES) -> DataFrame:
     """The documents with every secret replaced by ``mark``; overlapping spans
     become one.  Keeps the table's columns; ``n_chars``, if there, follows the
     text.  A null text stays null."""
-    names = docs.columns
-    keyed = docs.withColumn("__null", F.col(text_col).isNull())
-    found = scan(keyed, id_col, text_col, rules, tuple(c for c in keyed.columns if c not in (id_col, text_col)))
+    own, names = veiled(docs)
+    text = names[text_col]
+    found = _scan(own.withColumn("__text", F.coalesce(F.col(text).cast("string"), F.lit(""))), names[id_col], rules)
     cut = F.aggregate(
-        "secret_spans",
+        "__spans",
         F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
         lambda acc, s: F.struct(
             F.greatest(acc["at"], s["stop"]).alias("at"),
             F.when(s["start"] < acc["at"], acc["out"])
-            .otherwise(F.concat(acc["out"], F.substring(F.col(text_col), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark)))
+            .otherwise(F.concat(acc["out"], F.substring(F.col("__text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark)))
             .alias("out"),
         ),
-        lambda acc: F.concat(acc["out"], F.substring(F.col(text_col), acc["at"] + 1, F.char_length(F.col(text_col)))),
+        lambda acc: F.concat(acc["out"], F.substring(F.col("__text"), acc["at"] + 1, F.char_length(F.col("__text")))),
     )
-    found = found.withColumn("__cut", F.when(F.col("__null"), F.lit(None)).when(F.size("secret_spans") == 0, F.col(text_col)).otherwise(cut))
-    columns = [F.col("__cut").alias(c) if c == text_col else F.char_length("__cut").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in names]
-    return found.select(*columns)
+    found = found.withColumn(text, F.when(F.col(text).isNull(), F.lit(None)).when(F.size("__spans") == 0, F.col(text)).otherwise(cut))
+    if "n_chars" in names:
+        found = found.withColumn(names["n_chars"], F.char_length(text).cast(docs.schema["n_chars"].dataType))
+    return unveiled(found, names)
 
 
 def digest(scanned: DataFrame, id_col: str = "doc_id") -> DataFrame:

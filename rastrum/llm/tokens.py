@@ -8,22 +8,22 @@ holds the ids as little-endian unsigned 32-bit integers; with the index a short
 document is read by one range request and the dictionary.
 
 The dictionary only affects the files' size.  It is trained on the first
-``SAMPLE_IDS`` ids of at most ``SAMPLE_DOCS`` documents, those with the smallest
-hash; every document is encoded, written and indexed.
+``SAMPLE_IDS`` ids of about ``SAMPLE_DOCS`` distinct documents, those whose hash is
+under a limit; every document is encoded, written and indexed.
 
 A shard is one task.  It writes under a temporary name of its own; a second job
 gives the files of the attempts that Spark counts their final names, and the
 manifest is written last.
 
 Defined results: a null text is an empty text, of which only the end id is
-written; null ids sort first; rows with one id stand next to each other; an
-empty table gives a store without shards and no rows; other columns are ignored.
+written; null ids sort first; rows with one id stand next to each other; a
+special token's string in a text is taken as the library takes it; an empty table
+gives a store without shards and no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -33,22 +33,25 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from rastrum.llm.common import materialize, new_path, per_worker
+from rastrum.llm.common import discard, materialize, new_path, per_worker
 
 END = 2
 SAMPLE_DOCS, SAMPLE_IDS = 1000, 2048
 DICTIONARY_BYTES = 1 << 16
 LEVEL = 1
-SHARD_BYTES = 8 << 20
+SHARD_BYTES, MOST_SHARDS = 8 << 20, 100_000
+#: Shards whose totals are added up as one.
+GROUP = 4096
 #: Pieces of text whose ids a worker keeps.
-MOST_KEPT = 600_000
+MOST_KEPT = 400_000
+#: Bytes of text that are encoded at once.
+BLOCK = 8 << 20
 
-_RUN = re.compile(r"\s\s|\x00")
-_CUT = re.compile(r"(?<=\S)(?= )")
+_BLANK = r"\s\v\x{85}\p{Z}\x1c-\x1f"
 _MARKS = tuple(".,;:!?")
 
 
@@ -58,24 +61,19 @@ class Encoder:
 
     No match of a byte-level pre-tokeniser goes on over a space after something
     visible, so pieces cut there have the ids that they have in the text.  Where
-    no white space stands next to other, line breaks are pieces too.
+    no white space stands next to other, line breaks are pieces too.  A text with
+    an added token's string, or with a zero character, goes to the library whole.
     """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.kept: dict[str, bytes] = {}
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.kept: dict[str, np.ndarray] = {}
         byte_level = self.tokenizer.get_vocab(with_added_tokens=False)
         self.width = np.zeros(max(byte_level.values()) + 1, np.int64)
         for token, i in byte_level.items():
             self.width[i] = len(token)  # a character stands for a byte
 
-    @staticmethod
-    def pieces(text: str) -> list[str]:
-        if _RUN.search(text):
-            return _CUT.split(text)
-        return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
-
     def _learn(self, new: list[str]) -> None:
         """Encode pieces in runs and cut the ids where the pieces' bytes end; one
         with white space next to a cut is encoded alone.  A word with a mark at
@@ -87,28 +85,60 @@ class Encoder:
         spaced = list(filter(inner, new))
         alone = [p for p in new if not inner(p)]
         for p, e in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False), strict=True):
-            self.kept[p] = np.array(e.ids, "<u4").tobytes()
+            self.kept[p] = np.array(e.ids, "<u4")
         runs = [spaced[at : at + 32] for at in range(0, len(spaced), 32)]
         for run, e in zip(runs, self.tokenizer.encode_batch_fast(list(map("".join, runs)), add_special_tokens=False), strict=True):
             ids = np.array(e.ids, "<u4")
-            raw, stops = ids.tobytes(), np.cumsum([len(p.encode()) for p in run])
-            cuts = (4 * np.searchsorted(np.cumsum(self.width[ids]), stops) + 4).tolist()
-            self.kept.update(zip(run, map(raw.__getitem__, map(slice, [0, *cuts], cuts)), strict=True))
-        self.kept.update((p, self.kept[stem] + self.kept[p[-1]]) for p, stem in ends.items())
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self.pieces(t) for t in texts]
+            stops = np.cumsum([len(p.encode()) for p in run])
+            cuts = (np.searchsorted(np.cumsum(self.width[ids]), stops) + 1).tolist()
+            self.kept.update((p, ids[a:z].copy()) for p, a, z in zip(run, [0, *cuts], cuts, strict=False))
+        self.kept.update((p, np.concatenate([self.kept[stem], self.kept[p[-1]]])) for p, stem in ends.items())
+
+    def _by_pieces(self, marked: pa.Array) -> list[np.ndarray]:
+        """Ids of texts whose pieces are divided by zero characters."""
+        cut = pc.split_pattern(marked, "\0")
+        pieces = cut.flatten().dictionary_encode()
+        own = pieces.dictionary.to_pylist()
         if len(self.kept) > MOST_KEPT:
             self.kept.clear()
-        self._learn(list(set().union(*cut).difference(self.kept)))
-        return [b"".join(map(self.kept.__getitem__, p)) for p in cut]
+        self._learn([p for p in own if p not in self.kept])
+        ids = [self.kept[p] for p in own]
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        first, at = np.cumsum(size) - size, pieces.indices.to_numpy()
+        flat, n = np.concatenate([np.zeros(0, "<u4"), *ids]), size[at]
+        stops = np.append(0, np.cumsum(n))
+        every = flat[np.repeat(first[at] - stops[:-1], n) + np.arange(stops[-1])]
+        ends = stops[cut.offsets.to_numpy() - cut.offsets[0].as_py()].tolist()
+        return [every[a:z] for a, z in zip(ends, ends[1:], strict=False)]
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        whole = pc.match_substring(texts, "\0")
+        for token in self.added:
+            whole = pc.or_(whole, pc.match_substring(texts, token))
+        blanks = pc.and_not(pc.match_substring_regex(texts, f"[{_BLANK}][{_BLANK}]"), whole)
+        kind = np.where(whole.to_numpy(zero_copy_only=False), 2, blanks.to_numpy(zero_copy_only=False).astype(int))
+        out: list = [None] * len(texts)
+        for k in range(3):
+            at = np.flatnonzero(kind == k)
+            some = texts.take(pa.array(at))
+            if not len(at):
+                continue
+            if k == 0:
+                found = self._by_pieces(pc.replace_substring(pc.replace_substring(some, "\n", "\0\n\0"), " ", "\0 "))
+            elif k == 1:
+                found = self._by_pieces(pc.replace_substring_regex(some, f"([^{_BLANK}]) ", "\\1\0 "))
+            else:
+                found = [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(some.to_pylist(), add_special_tokens=False)]
+            for i, x in zip(at.tolist(), found, strict=True):
+                out[i] = x
+        return out
 
 
 def _encoder(path: str) -> Encoder:
     return per_worker(("tokens", path), lambda: Encoder(path))
 
 
-def _blocks(texts: pa.Array, most: int = 1 << 21) -> Iterator[pa.Array]:
+def _blocks(texts: pa.Array, most: int = BLOCK) -> Iterator[pa.Array]:
     """Slices of about ``most`` bytes, at least one text each."""
     size = pc.cumulative_sum(pc.binary_length(texts).cast(pa.int64())).to_numpy()
     at = 0
@@ -120,14 +150,17 @@ def _blocks(texts: pa.Array, most: int = 1 << 21) -> Iterator[pa.Array]:
 
 def train_dictionary(docs: DataFrame, vocabulary: str, n_docs: int = SAMPLE_DOCS, n_ids: int = SAMPLE_IDS) -> bytes:
     """A dictionary from ``docs`` (id, text); empty if there is too little to learn from."""
-    picked = docs.select(F.xxhash64("id", "text").alias("h"), "text").orderBy("h").limit(n_docs)
+    h = F.xxhash64("id", "text")
+    limit = min(1 << 31, -(-(n_docs << 31) // max(docs.count(), 1)))
+    few = docs.where(F.pmod(h, F.lit(1 << 31)) < limit).select(h.alias("h"), F.substring("text", 1, 16 * n_ids).alias("text"))
+    picked = few.groupBy("h").agg(F.min("text").alias("text"))  # repeated rows count once
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = _encoder(vocabulary).encode([t.as_py()[: 16 * n_ids] for t in b["text"]])
-            yield pa.RecordBatch.from_arrays([b["h"], pa.array([i[: 4 * n_ids] for i in ids], pa.binary())], names=["h", "ids"])
+            ids = _encoder(vocabulary).encode(b["text"])
+            yield pa.RecordBatch.from_arrays([b["h"], pa.array([i[:n_ids].tobytes() for i in ids], pa.binary())], names=["h", "ids"])
 
-    samples = [bytes(r["ids"]) for r in picked.mapInArrow(run, "h long, ids binary").orderBy("h").collect()]  # n_docs rows of 4 * n_ids bytes
+    samples = [bytes(r["ids"]) for r in picked.mapInArrow(run, "h long, ids binary").orderBy("h").collect()]  # about n_docs rows of 4 * n_ids bytes
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, [s for s in samples if s]).as_bytes()
     except zstandard.ZstdError:
@@ -162,18 +195,17 @@ def write(docs: DataFrame, out: str, vocabulary: str, id_col: str = "doc_id", te
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(held.value))
-        last = np.array([end], "<u4").tobytes()
         for b in batches:
             at = 0
             for block in _blocks(b["text"]):
-                ids = [i + last for i in _encoder(vocabulary).encode(block.to_pylist())]
-                frames = pa.array([packer.compress(i) for i in ids], pa.binary())
-                yield pa.RecordBatch.from_arrays([b["id"].slice(at, len(block)), pa.array([len(i) // 4 for i in ids], pa.int64()), frames], names=["id", "n_tokens", "frame"])
+                ids = [np.append(i, np.uint32(end)) for i in _encoder(vocabulary).encode(block)]
+                frames = pa.array([packer.compress(i.tobytes()) for i in ids], pa.binary())
+                yield pa.RecordBatch.from_arrays([b["id"].slice(at, len(block)), pa.array(list(map(len, ids)), pa.int64()), frames], names=["id", "n_tokens", "frame"])
                 at += len(block)
 
     packed = materialize(docs.mapInArrow(pack, "id long, n_tokens long, frame binary").withColumn("row", F.monotonically_increasing_id()), "frames")
     total = packed.agg(F.sum(F.octet_length("frame"))).first()[0] or 0
-    dealt = packed.repartitionByRange(max(1, -(-total // shard_bytes)), "id", "row").sortWithinPartitions("id", "row").withColumn("shard", F.spark_partition_id())
+    dealt = packed.repartitionByRange(max(1, -(-total // max(shard_bytes, -(-total // MOST_SHARDS)))), "id", "row").sortWithinPartitions("id", "row").withColumn("shard", F.spark_partition_id())
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pafs.FileSystem.from_uri(out)
@@ -193,11 +225,15 @@ def write(docs: DataFrame, out: str, vocabulary: str, id_col: str = "doc_id", te
 
     stored = materialize(dealt.mapInArrow(store, "id long, shard int, offset long, length long, n_tokens long, before long, temporary string"), "stored")
     made = stored.groupBy("shard", "temporary").agg(F.sum("n_tokens").alias("n_tokens"), F.sum("length").alias("bytes"), F.count("*").alias("documents"))
-    rows, first = [], 0
-    for r in made.orderBy("shard").collect():  # one row per shard
-        rows.append((r["shard"], r["temporary"], f"shard-{r['shard']:06d}.zst", r["documents"], r["n_tokens"], r["bytes"], first, mark))
-        first += r["n_tokens"]
-    manifest = spark.createDataFrame(rows, "shard int, temporary string, file string, documents long, n_tokens long, bytes long, first long, dictionary string")
+    made = made.withColumn("group", F.floor(F.col("shard") / GROUP))
+    # running totals: of the groups in one task, a row for every GROUP shards, then inside each group
+    sums = made.groupBy("group").agg(F.sum("n_tokens").alias("n"))
+    sums = sums.select("group", (F.sum("n").over(Window.orderBy("group")) - F.col("n")).alias("ahead"))
+    inside = F.sum("n_tokens").over(Window.partitionBy("group").orderBy("shard")) - F.col("n_tokens")
+    manifest = materialize(
+        made.join(sums, "group").select("shard", "temporary", F.format_string("shard-%06d.zst", "shard").alias("file"), "documents", "n_tokens", "bytes", (F.col("ahead") + inside).alias("first"), F.lit(mark).alias("dictionary")),
+        "shards",
+    )
 
     def commit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pafs.FileSystem.from_uri(out)
@@ -211,9 +247,10 @@ def write(docs: DataFrame, out: str, vocabulary: str, id_col: str = "doc_id", te
                     raise OSError(f"{target} isn't complete")
             yield b
 
-    index = stored.join(F.broadcast(manifest.select("shard", "file", "first", "dictionary")), "shard")  # one row per shard
+    index = stored.join(manifest.select("shard", "file", "first", "dictionary"), "shard")
     index.select("id", "file", "offset", "length", "n_tokens", (F.col("first") + F.col("before")).alias("start"), "dictionary").write.parquet(f"{out}/index")
     manifest.mapInArrow(commit, manifest.schema).drop("temporary").write.parquet(f"{out}/manifest")
+    discard(packed, stored, manifest)
     return spark.read.parquet(f"{out}/index")
 
 

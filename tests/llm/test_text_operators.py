@@ -11,7 +11,7 @@ import public_tokenizers
 import xxhash
 from pyspark.sql import functions as F
 
-from rastrum.llm import bpe, decontam, quality, queries, repeats, secrets, simhash, tokens
+from rastrum.llm import bpe, decontam, near, quality, queries, repeats, secrets, simhash, tokens
 from tests.llm.conftest import DOCS, LONG
 
 TABLES = "/root/testdata/sf0.001"
@@ -125,6 +125,25 @@ def brute_hits(text, items, n=10):
     return len(words), len(hit), len(named), hashlib.sha256(",".join(sorted(named)).encode()).hexdigest(), bool(hit)
 
 
+def test_columns_with_the_names_of_others(spark, docs):
+    """Columns called like what operators use or return come back, under those names or with _in appended."""
+    new = ["__id", "__tag", "__text", "__hit", "__c0", "__spans", "hit", "items", "n_words", "kept", "score", "secret_spans", "token_ids", "n_removed", "__runs", "__group", "__bit"]
+    odd = docs.drop("score").withColumns({c: F.lit(f"own {c}") for c in new})
+    bench = spark.createDataFrame(ITEMS, "item_id string, text string")
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    how = {"vocabulary": RANKS, "pattern": public_tokenizers.PATTERN}
+    for found in (
+        quality.judge(odd, labels), quality.keep_good(odd, labels), decontam.scan(odd, bench), decontam.remove_documents(odd, bench), decontam.remove_spans(odd, bench),
+        secrets.scan(odd), secrets.redact(odd), simhash.dedup(odd), near.dedup(odd), bpe.encode(odd, **how), repeats.dedup(odd),
+    ):
+        assert len(set(found.columns)) == len(found.columns)
+        rows = found.collect()
+        assert rows
+        for c in new:
+            column = c if f"{c}_in" not in found.columns else f"{c}_in"
+            assert {r[column] for r in rows} == {f"own {c}"}
+
+
 ITEMS = [("q1", "The capital of the small country that lies between two large mountains"), ("q2", "Word"), ("q3", None), ("q4", "..."), (None, "gamma delta epsilon"), ("q6", "äöü SS éa"), ("q7", "between two")]
 
 
@@ -137,6 +156,7 @@ def test_decontamination(spark, docs, most):
     assert clean.columns == docs.columns
     assert clean.count() == sum(not brute_hits(t, ITEMS)[-1] for _, t in DOCS)
     assert decontam.remove_documents(docs, bench.where("false"), most_bytes=most).count() == len(DOCS)
+    assert decontam.scan(docs.where("false"), bench, most_bytes=most).count() == 0
 
 
 def test_decontamination_cuts_spans(spark, docs):
@@ -171,40 +191,57 @@ def brute_rules(text):
 def test_quality_counts(spark, docs, source):
     table = docs if source == "fixture" else spark.read.parquet(f"{TABLES}/documents.parquet")
     labels = spark.read.parquet(f"{TABLES}/labels.parquet")
-    got = quality.judge(table, labels).select("doc_id", "__n_words", "__word_chars", "__n_symbols", "__n_dup_lines", "__n_repeat_words", "__base_failed").collect()
+    got = quality.judge(table, labels).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed").collect()
     assert multiset(got) == multiset((d, *brute_rules(t)) for d, t in (DOCS if source == "fixture" else real(spark)))
 
 
+def half(d):
+    return xxhash.xxh64_intdigest(d.to_bytes(8, "little"), 42) & 1
+
+
+def brute_threshold(scored):
+    """Least cost over all middles between neighbouring scores: the widest gap, then the lowest."""
+    s = sorted(scored)
+    cost = lambda x: sum(quality.FALSE_REJECT * (v < x) if g else v >= x for v, g in s)
+    tried = [(cost((a + b) / 2), a - b, (a + b) / 2) for (a, _), (b, _) in zip(s, s[1:]) if b > a]
+    best = min(tried)
+    return best[2] if best[0] < sum(not g for _, g in s) else -np.inf
+
+
 def test_quality_scores_by_brute_force(spark):
     rows = real(spark)
     good = {}
     for r in spark.read.parquet(f"{TABLES}/labels.parquet").collect():
-        if r["quality"] is not None:
+        if r["quality"] is not None and not r["toxic"]:
             good[r["doc_id"]] = min(good.get(r["doc_id"], 1), r["quality"])
     raw, trusted = Counter(), Counter()
     bucket = lambda g: (int.from_bytes(g, "big") * 2654435761 & 0xFFFFFFFF) >> 17
     grams = {d: [bucket(t.encode()[i : i + 4]) for i in range(len(t.encode()) - 3)] for d, t in rows}
     for d, g in grams.items():
         raw.update(g)
-        if good.get(d) == 1:
+        if good.get(d) == 1 and not half(d):
             trusted.update(g)
     n_raw, n_good = sum(raw.values()) + quality.BUCKETS, sum(trusted.values()) + quality.BUCKETS
     ratio = lambda b: np.log((trusted[b] + 1) / n_good) - np.log((raw[b] + 1) / n_raw)
     judged = queries.op4_quality_rules(spark, TABLES).collect()
-    for r in judged[:40]:
-        g = grams[r["doc_id"]]
-        assert r["score"] == pytest.approx(sum(map(ratio, g)) / len(g) if g else 0.0, abs=1e-9)
+    mean = {d: sum(map(ratio, g)) / len(g) if g else 0.0 for d, g in grams.items()}
+    least = brute_threshold([(mean[d], good[d]) for d in grams if d in good and half(d)])
+    for r in judged:
+        assert r["score"] == pytest.approx(mean[r["doc_id"]], abs=1e-9)
+        assert r["kept"] == (not r["base_failed"] and mean[r["doc_id"]] >= least)
     scored = [(r["score"], good[r["doc_id"]]) for r in judged if r["doc_id"] in good and not r["base_failed"]]
     kept = {r["doc_id"]: r["kept"] for r in judged}
     right = [kept[r["doc_id"]] for r in judged if good.get(r["doc_id"]) == 1 and not r["base_failed"]]
-    assert scored and np.mean(right) > 0.95
+    assert scored and np.mean(right) > 0.9
+    bad = [kept[r["doc_id"]] for r in judged if good.get(r["doc_id"]) == 0]
+    assert np.mean(bad) < 0.2
     assert all(not r["kept"] for r in judged if r["base_failed"])
 
 
 def test_quality_without_labels_or_rows(docs, spark, empty):
     none = spark.createDataFrame([], "doc_id long, quality int")
     got = quality.judge(docs, none)
-    assert got.where("__kept = __base_failed").count() == 0
+    assert got.where("kept = base_failed").count() == 0
     assert quality.keep_good(empty, none).count() == 0
 
 
@@ -286,12 +323,26 @@ def test_suffix_dedup_of_a_table(spark):
     assert any(r["n_removed"] for r in got)
 
 
+ODD = ["hello <|endoftext|> world", "<|endoftext|>", "zero \0 inside  twice", "nbsp\u00a0 \u00a0  then \x1c x \x85 y", "a \n b\tc\r\nd ", "  lead", "trail  \n\n", "\u3000wide\u2028 x", "it's  don't 12,34 5.6! ?"]
+
+
+def test_encoder_on_odd_texts():
+    from tokenizers import Tokenizer
+    import pyarrow as pa
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain = Tokenizer.from_file(path)
+    rng = np.random.default_rng(5)
+    parts = [" ", "  ", "\n", "\t", "\u00a0", "\u2003", "\x1f", "\x85", "a", "Bc", "1", ".", "!", "'s", "é", "東", "\0", "<|endoftext|>", "🙂", "-"]
+    texts = ODD + ["".join(parts[i] for i in rng.integers(0, len(parts) - 3 * (k % 2), rng.integers(0, 30))) for k in range(3000)]
+    assert [x.tolist() for x in tokens.Encoder(path).encode(pa.array(texts))] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_token_store(spark, docs, empty):
     path = public_tokenizers.path("byte_bpe_50k.json")
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
     ids = lambda t: [*plain.encode(t or "", add_special_tokens=False).ids, tokens.END]
     from rastrum.llm.common import new_path
 

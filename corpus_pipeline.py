@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 and read again before the next one.  The last stage returns token ids.
+
+Defined results of every stage: an empty table gives no rows; columns beyond the
+five of documents go through all stages but the last, whatever their names.
 """
 
 from __future__ import annotations
@@ -14,27 +17,46 @@ from rastrum.llm.common import materialize
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep.
+
+    A null or short text fails the rules and goes; a null id is never labelled;
+    repeated rows are judged alike and stay; scores on the threshold are kept.
+    """
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, Jaccard 0.8 or more."""
+    """One document of each group of near copies: five-word shingles, Jaccard 0.8 or more.
+
+    Null and empty texts are copies of each other; the smallest id stays, a null
+    id only if there is no other; of repeated rows one stays.
+    """
     return near.dedup(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any passage of the benchmark."""
+    """Documents without any passage of the benchmark.
+
+    A null text has none; null ids and repeated rows stay; of an empty benchmark
+    nothing is found.
+    """
     return decontam.remove_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets cut out of their texts."""
+    """All documents, with secrets cut out of their texts.
+
+    A null text stays null; overlapping secrets become one mark; null ids and
+    repeated rows stay.
+    """
     return secrets.redact(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id and token ids."""
+    """doc_id and token ids.
+
+    A null text has no ids; null ids and repeated rows stay, a row for each.
+    """
     found = bpe.encode(docs.select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return found.select("doc_id", "token_ids")
 

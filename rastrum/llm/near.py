@@ -1,23 +1,30 @@
-"""Near copies by exact similarity: word shingles of five words, Jaccard 0.8 or more.
-
-All pairs at the similarity are linked and what is reachable is one group; none
-is lost to a sketch.  A text is the set of its distinct shingles, named by 64-bit
-hashes, and texts of equal sets are one node, named by a 64-bit hash of the set;
-results are exact up to collisions of these names.
-
-Candidates come from a prefix filter: with the shingles of all texts in one
-order, two sets of similarity s share a shingle among the first
-n - ceil(s n) + 1 of each.  The order puts shingles in crowded cells of a
-count table last, so that common lines and passages are seldom in a prefix; the
-table has a fixed size, is counted on a part of the texts, and only moves work.
-In a bucket (the nodes with a shingle in their prefix) every node is first held
-against the one with the fewest shingles before it, and what is equal enough is
-linked; then all pairs of a bucket that are still in different groups and that
-sizes and places do not rule out are held against each other.
+"""Near copies by SimHash and exact similarity: word shingles of five words, Jaccard 0.8 or more.
+
+Texts are linked if the sets of their shingles have that similarity, and what is
+reachable is one group.  A text is the set of its distinct shingles, named by
+64-bit hashes, and texts of equal sets are one node, named by a 64-bit hash of
+the set; results are exact up to collisions of these names.
+
+Nodes get SimHash fingerprints, and the generalised pigeonhole of ``simhash``
+finds those that differ in at most two bits.  No number of bits bounds the
+similarity: copies at 0.8 were seen to differ in up to eleven of 64.  So a second
+search finds what is left: with the shingles of all texts in one order, two sets
+of similarity s share a shingle among the first n - ceil(s n) + 1 of each.  The
+order puts shingles in crowded cells of a count table last, so that common lines
+and passages are seldom in such a prefix; the table has a fixed size, is counted
+on a part of the texts, and only moves work.  In a bucket (the nodes with a
+shingle in their prefix) every node is first held against the one with the fewest
+shingles before it; then all of a bucket that are still in different groups, and
+that sizes and places do not rule out, are held against each other.
+
+Pairs are verified twice: how many shingles fall in each of ``COUNTS`` cells
+bounds what two sets share, and the pairs that this leaves are compared shingle
+by shingle.
 
 Defined results: a text of one to five words has one shingle, itself; null and
 empty texts have none and are copies of each other; the smallest id of a group is
-kept, a null id last, and of repeated rows one; an empty table gives no rows.
+kept, a null id last, and of repeated rows one; an empty table gives no rows;
+other columns are left alone, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,7 +37,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rastrum.llm.common import connected_components, materialize, texts_of, with_row_key
+from rastrum.llm import simhash
+from rastrum.llm.common import connected_components, discard, materialize, texts_of, with_row_key
 
 SHINGLE = 5
 #: Similarity is at least NUM / DEN.
@@ -41,6 +49,8 @@ CELLS, PART = 1 << 18, 4
 #: Postings are dealt by shingle in so many parts; a shingle goes by its upper 44 bits there, which only adds candidates.
 PARTS = 1 << 12
 POSTING = np.dtype([("g", "<i8"), ("node", "<i8"), ("at", "<i4"), ("n", "<i4")])
+#: Cells that a set's shingles are counted in, and the largest count that is exact.
+COUNTS, FULL = 512, 255
 #: Size of the table that says which texts may be wanted.
 BITS = 1 << 20
 
@@ -85,15 +95,26 @@ def levels(keyed: DataFrame) -> np.ndarray:
     return np.log2(1 + np.maximum(n - usual, 0)).astype(np.int8)
 
 
+def counts_of(own: np.ndarray) -> bytes:
+    """How many shingles fall in each cell, ``FULL`` at most."""
+    return np.minimum(np.bincount(own >> 40 & (COUNTS - 1), minlength=COUNTS), FULL).astype(np.uint8).tobytes()
+
+
 def nodes(keyed: DataFrame) -> DataFrame:
-    """(id, __id, __tag, node) of every row."""
+    """(id, __id, __tag, node, fp, n, counts) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = pa.array([node_of(shingles(t)) for t in texts_of(b)], pa.int64())
-            yield pa.RecordBatch.from_arrays([b["id"], b["__id"], b["__tag"], found], names=["id", "__id", "__tag", "node"])
+            own = list(map(shingles, texts_of(b)))
+            found = [
+                pa.array(list(map(node_of, own)), pa.int64()),
+                pa.array([simhash.majority(s.astype("<u8")) for s in own], pa.int64()),
+                pa.array(list(map(len, own)), pa.int32()),
+                pa.array(list(map(counts_of, own)), pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays([b["id"], b["__id"], b["__tag"], *found], names=["id", "__id", "__tag", "node", "fp", "n", "counts"])
 
-    return keyed.mapInArrow(run, "id long, __id long, __tag long, node long")
+    return keyed.mapInArrow(run, "id long, __id long, __tag long, node long, fp long, n int, counts binary")
 
 
 def postings(keyed: DataFrame, level: np.ndarray) -> DataFrame:
@@ -168,28 +189,61 @@ def _pairs(met: DataFrame) -> DataFrame:
     return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
+def _may_be(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs whose counts leave the similarity open; where both counts of a cell are full the lesser set's size bounds it."""
+    for b in batches:
+        if len(b):
+            x, y = (np.frombuffer(b"".join(b[c].to_pylist()), np.uint8).reshape(-1, COUNTS) for c in ("ca", "cb"))
+            least = np.minimum(x, y)
+            n, m = (b[c].to_numpy().astype(np.int64) for c in ("na", "nb"))
+            most = np.minimum(np.where((least == FULL).any(axis=1), np.inf, least.sum(axis=1, dtype=np.int64)), np.minimum(n, m))
+            yield pa.RecordBatch.from_arrays([b["a"], b["b"]], names=["a", "b"]).filter(pa.array((NUM + DEN) * most >= NUM * (n + m)))
+
+
 def similar(pairs: DataFrame, keyed: DataFrame, rows: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough."""
-    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = materialize(rows.join(ends, "node").groupBy("node").agg(F.min(F.struct("__id", "__tag")).alias("k")).select("node", "k.*"), "wanted")
+
+    def ends(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+
+    one = rows.join(ends(pairs), "node").groupBy("node").agg(F.first("n").alias("n"), F.first("counts").alias("c"))
+    both = pairs.join(one.toDF("a", "na", "ca"), "a").join(one.toDF("b", "nb", "cb"), "b")
+    pairs = materialize(both.mapInArrow(_may_be, "a long, b long"), "open")
+    wanted = materialize(rows.join(ends(pairs), "node").groupBy("node").agg(F.min(F.struct("__id", "__tag")).alias("k")).select("node", "k.*"), "wanted")
     held = materialize(sets(keyed, wanted), "sets")
     both = pairs.join(held.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(held.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
-    return both.where((NUM + DEN) * F.size(F.array_intersect("sa", "sb")) >= NUM * (F.size("sa") + F.size("sb"))).select("a", "b")
+    found = materialize(both.where((NUM + DEN) * F.size(F.array_intersect("sa", "sb")) >= NUM * (F.size("sa") + F.size("sb"))).select("a", "b"), "links")
+    discard(pairs, wanted, held)
+    return found
+
+
+def simhash_pairs(rows: DataFrame) -> DataFrame:
+    """(a, b): nodes whose fingerprints are linked; nodes of one fingerprint are held against the smallest."""
+    one = materialize(rows.where("n > 0").groupBy("node").agg(F.first("fp").alias("fp")), "fps")
+    leads = one.groupBy("fp").agg(F.min("node").alias("lead"))
+    near = simhash.links(leads.select("fp"), simhash.plan(leads.select("fp")))
+    far = near.join(leads.select(F.col("fp").alias("a"), F.col("lead").alias("x")), "a").join(leads.select(F.col("fp").alias("b"), F.col("lead").alias("y")), "b")
+    same = one.join(leads, "fp").where("node <> lead").select(F.col("lead").alias("x"), F.col("node").alias("y"))
+    return far.select("x", "y").unionByName(same).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def links(keyed: DataFrame, rows: DataFrame) -> DataFrame:
     """(a, b): edges that connect exactly the nodes of similar sets, directly or by way of others."""
-    shared = materialize(shared_postings(postings(keyed, levels(keyed))), "shared")
-    leaders = shared.groupBy("g").agg(F.min(F.struct("at", F.xxhash64("g", "node").alias("h"), "node", "n")).alias("k")).select("g", "k.*")
+    packed = materialize(postings(keyed, levels(keyed)), "postings")
+    shared = materialize(shared_postings(packed), "shared")
+    discard(packed)
+    leaders = shared.groupBy("g").agg(F.min(F.struct("at", F.xxhash64("node").alias("h"), "node", "n")).alias("k")).select("g", "k.*")
     star = shared.alias("x").join(leaders.alias("y"), "g").where(F.col("x.node") != F.col("y.node")).where(_possible())
-    tried = materialize(_pairs(star), "tried")
-    first = materialize(similar(tried, keyed, rows), "links")
+    tried = materialize(_pairs(star).unionByName(simhash_pairs(rows)).distinct(), "tried")
+    first = similar(tried, keyed, rows)
     grouped = shared.join(connected_components(first), "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
     split = grouped.groupBy("g").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least < most").select("g")
     open_ = materialize(grouped.join(split, "g"), "open")
     rest = open_.alias("x").join(open_.alias("y"), "g").where((F.col("x.node") < F.col("y.node")) & (F.col("x.c") != F.col("y.c"))).where(_possible())
-    more = similar(materialize(_pairs(rest).join(tried, ["a", "b"], "left_anti"), "rest"), keyed, rows)
-    return first.unionByName(materialize(more, "links"))
+    left = materialize(_pairs(rest).join(tried, ["a", "b"], "left_anti"), "rest")
+    more = similar(left, keyed, rows)
+    discard(open_, left, tried, shared)
+    return first.unionByName(more)
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -202,7 +256,4 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each group: the smallest id, a null id last; of repeated rows, one."""
-    first = F.min(F.struct(F.col("id").isNull(), F.col("__id"), F.col("__tag"))).alias("x")
-    keep = near_groups(docs, id_col, text_col).groupBy("__group").agg(first).select("x.__id", "x.__tag")
-    kept = with_row_key(docs, id_col, text_col).join(keep, ["__id", "__tag"])
-    return kept.dropDuplicates(["__id", "__tag"]).select(*docs.columns)
+    return simhash.one_of_each(docs, near_groups(docs, id_col, text_col), id_col, text_col)

@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rastrum.errors import TraceError
+
 
 def upsample(line: np.ndarray, factor: int = 32) -> np.ndarray:
     """Zeros in the middle of the spectrum."""
@@ -62,11 +64,18 @@ def measure_image(image: DataFrame, expected: tuple[float, float] | None = None)
 
 
 def scene_contrast(cells: DataFrame, tile: int = 512, looks: int = 4) -> DataFrame:
-    """Deviation over mean of the brightest tile of the multilooked magnitude (i, j, v)."""
-    looked = cells.groupBy(F.floor(F.col("i") / looks).alias("i"), F.floor(F.col("j") / looks).alias("j")).agg(F.avg("v").alias("v"))
-    tiled = looked.withColumns({"a": F.floor(F.col("i") / tile), "b": F.floor(F.col("j") / tile)})
-    tiles = tiled.groupBy("a", "b").agg(F.sum("v").alias("total"), (F.stddev_pop("v") / F.avg("v")).alias("contrast"))
-    return tiles.agg(F.max(F.struct("total", "contrast"))["contrast"].alias("contrast"))
+    """Deviation over mean of the brightest ``tile`` x ``tile`` samples of the magnitude (i, j, v), multilooked.
+
+    Looks and tiles that the image's edges cut are dropped; of equally bright
+    tiles the first counts; null if no tile fits or its mean isn't positive."""
+    if looks < 1 or tile < looks or tile % looks:
+        raise TraceError(f"{looks} looks don't divide a tile of {tile}")
+    across = tile // looks
+    looked = cells.groupBy(F.floor(F.col("i") / looks).alias("i"), F.floor(F.col("j") / looks).alias("j")).agg(F.avg("v").alias("v"), F.count("*").alias("n"))
+    tiled = looked.where(F.col("n") == looks * looks).withColumns({"a": F.floor(F.col("i") / across), "b": F.floor(F.col("j") / across)})
+    tiles = tiled.groupBy("a", "b").agg(F.sum("v").alias("total"), F.count("*").alias("n"), F.when(F.avg("v") > 0, F.stddev_pop("v") / F.avg("v")).alias("contrast"))
+    best = F.max(F.struct("total", (-F.col("a")).alias("a"), (-F.col("b")).alias("b"), "contrast"))
+    return tiles.where(F.col("n") == across * across).agg(best["contrast"].alias("contrast"))
 
 
 def db_image(cells: DataFrame, floor: float = -60.0) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from rastrum import raster as R
 from rastrum import types as T
 from rastrum.functions import windows
-from rastrum.plans import imaging
+from rastrum.plans import imaging, metrics
 from rastrum.sources.params import synthetic_params
 from rastrum.sources.simulate import Geometry, demo_scene, stripmap_echo
 
@@ -97,6 +97,10 @@ _each("clip", lambda a: R.clip(a, -0.05, 0.05), "least(greatest(v, -0.05), 0.05)
 _each("maximum", lambda a: R.maximum(a, 0.02), "greatest(v, 0.02)")
 _each("minimum", lambda a: R.minimum(a, 0.02), "least(v, 0.02)")
 _each("compare", lambda a: a > 0.01, "case when v > 0.01 then 1.0 else 0.0 end")
+for _name, _f, _e in (("lt", lambda a: a < 0.01, "<"), ("le", lambda a: a <= 0.01, "<="), ("ge", lambda a: a >= 0.01, ">=")):
+    _each(f"compare_{_name}", _f, f"case when v {_e} 0.01 then 1.0 else 0.0 end")
+_each("compare_eq", lambda a: R.sign(a) == 1.0, "case when v > 0 then 1.0 else 0.0 end")
+_each("compare_ne", lambda a: R.sign(a) != 1.0, "case when v > 0 then 0.0 else 1.0 end")
 _each("where", lambda a: R.where(a < 0.0, a * 2.0, 1.0), "case when v < 0 then v * 2.0 else 1.0 end")
 _each("mag2db", lambda a: R.mag2db(R.abs_(a) + 1.0), "20 * ln(abs(v) + 1.0) / ln(10)")
 _each("pow2db", lambda a: R.pow2db(R.abs_(a) + 1.0), "10 * ln(abs(v) + 1.0) / ln(10)")
@@ -125,6 +129,15 @@ for _dim, _stay in ((0, "j"), (1, "i")):
     _of_a(f"cumsum_axis{_dim}", lambda a, d=_dim: R.cumsum(a, d), f"select i, j, {_r(f'sum(v) over (partition by {_stay} order by {_other} rows unbounded preceding)')} as v from a")
     _of_a(f"flip_axis{_dim}", lambda a, d=_dim: R.flip(a, d), f"select {'(select max(i) from a) - i as i, j' if _dim == 0 else f'i, {N - 1} - j as j'}, {_r('v')} as v from a")
 _of_a("sum_all", lambda a: R.sum_(a), f"select 0::bigint as j, {_r('sum(v)')} as v from a")
+_of_z("complex_sum_axis0", lambda z: R.sum_(z, 0), f"select j, {_r('sum(re)')} as re, {_r('sum(im)')} as im from z group by 1")
+_of_z("complex_cumsum_axis1", lambda z: R.cumsum(z, 1), "select i, j, {} as re, {} as im from z".format(*(_r(f"sum({p}) over (partition by i order by j rows unbounded preceding)") for p in ("re", "im"))))
+_of_a("rank_filter", lambda a: R.rank_filter(a, 3, 0), f"select x.i, x.j, {_r('min(y.v)')} as v from a x, unnest([-1, 0, 1]) as t(k), a y where y.i = x.i and y.j = least(greatest(x.j + t.k, 0), {N - 1}) group by 1, 2")
+_QUERIES["scene_contrast"] = (
+    lambda spark, sf: metrics.scene_contrast(R.abs_(raster_a(spark, sf)).cells(), 16, 4).select(F.round("contrast", 6).alias("contrast")),
+    f"{_A}, m as (select i // 4 as i, j // 4 as j, avg(abs(v)) as v from a group by 1, 2 having count(*) = 16),"
+    " t as (select i // 4 as a, j // 4 as b, sum(v) as total, stddev_pop(v) / avg(v) as contrast from m group by 1, 2 having count(*) = 16)"
+    f" select {_r('contrast')} as contrast from t order by total desc, a, b limit 1",
+)
 _of_a("multilook", lambda a: R.multilook(a, (4, 8)), f"select i // 4 as i, j // 8 as j, {_r('avg(v)')} as v from a group by 1, 2")
 _of_a("sort", R.sort, f"select i, row_number() over (partition by i order by v, j) - 1 as j, {_r('v')} as v from a")
 _of_a("median_filter", lambda a: R.median_filter(a, 5), f"select x.i, x.j, {_r('list_sort(list(y.v))[3]')} as v from a x, unnest([-2, -1, 0, 1, 2]) as t(k), a y where y.i = x.i and y.j = least(greatest(x.j + t.k, 0), {N - 1}) group by 1, 2")
@@ -161,7 +174,14 @@ _of_z(
         *(_r(f"0.5 * (0.75 * a.{p} + 0.25 * b.{p}) + 0.5 * (0.75 * c.{p} + 0.25 * d.{p})") for p in ("re", "im"))
     ),
 )
-_WINDOWS = {"hanning": "0.5 - 0.5 * cos(x)", "hamming": "0.54 - 0.46 * cos(x)", "blackman": "0.42 - 0.5 * cos(x) + 0.08 * cos(2 * x)"}
+_of_z(
+    "fft2",
+    lambda z: R.fft2(z[:16, :16]),
+    "select u as i, k as j, {} as re, {} as im from (select * from z where i < 16 and j < 16) z, range(0, 16) as t(k), range(0, 16) as s(u) group by 1, 2".format(
+        *(_r(e.replace("#", "(2 * pi() * ((z.j * k + z.i * u) % 16) / 16)")) for e in ("sum(re * cos(#) + im * sin(#))", "sum(im * cos(#) - re * sin(#))"))
+    ),
+)
+_WINDOWS = {"rect": "1.0", "hanning": "0.5 - 0.5 * cos(x)", "hamming": "0.54 - 0.46 * cos(x)", "blackman": "0.42 - 0.5 * cos(x) + 0.08 * cos(2 * x)"}
 for _name, _e in _WINDOWS.items():
     _QUERIES[f"window_{_name}"] = (
         lambda spark, sf, n=_name: _shown(R.Raster.from_numpy(spark, windows.window(n, N))),

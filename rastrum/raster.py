@@ -272,7 +272,8 @@ def constant(spark: SparkSession, value, dtype: T.DType | None = None, shape=Non
         raise TraceError("a scalar needs a shape")
     dtype = dtype or (T.of_numpy(value.dtype) if isinstance(value, np.generic) else T.c64 if isinstance(value, complex) else T.i64 if isinstance(value, int) else T.f64)
     spec = T.TensorSpec(tuple(shape), dtype)
-    frame = spark.range(spec.shape[0] if len(spec.shape) == 2 else 1).withColumnRenamed("id", "i").select("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(spec.shape[-1] - 1).cast("long"))).alias("j"))
+    m = spec.shape[-1]
+    frame = spark.range(math.prod(spec.shape)).select(F.expr(f"id div {m}").alias("i"), F.expr(f"id % {m}").alias("j"))
     parts = (value.real, value.imag) if dtype.kind == "c" else (value,)
     return Raster(frame, *[F.lit(p).cast(dtype.spark) for p in parts], *([] if dtype.kind == "c" else [None]), spec)
 
@@ -418,10 +419,14 @@ def cast(x: Raster, dtype: T.DType):
 def where(mask: Raster, a, b):
     """``a`` where the mask isn't zero (NaN isn't), else ``b``."""
     mask._need("f", "where")
+    left, right = a, b
     other = next((v for v in (a, b) if isinstance(v, Raster)), mask)
     a, b = other._lift(a), other._lift(b)
     if "i" in (a.dtype.kind, b.dtype.kind):
         raise TraceError("where doesn't take integers")
+    for v, given in ((a, left), (b, right)):
+        if isinstance(given, Raster) and v.shape != mask.shape:
+            raise TraceError(f"a mask of {mask.shape} for samples of {v.shape}")
     if a.dtype != b.dtype:
         dtype = T.promote(a.dtype, b.dtype)
         a, b = cast(a, dtype), cast(b, dtype)
@@ -516,6 +521,10 @@ def multilook(x: Raster, factors: tuple[int, int]) -> Raster:
     return x._reframed(blocks, (x.shape[0] // a, x.shape[1] // r))
 
 
+#: Samples of a line that a scan takes at once.
+BLOCK = 1 << 12
+
+
 # scans and order
 def _line(x: Raster, dim: int) -> tuple[str, Window]:
     along = x._index(x._axis(dim))
@@ -524,10 +533,23 @@ def _line(x: Raster, dim: int) -> tuple[str, Window]:
 
 
 def cumsum(x: Raster, dim: int = -1) -> Raster:
+    """Running totals; long lines by blocks of ``BLOCK`` samples, each block's own and those of the blocks ahead."""
     x._need("fc", "cumsum")
     along, line = _line(x, dim)
-    flat, over = x._flat(), line.orderBy(along).rowsBetween(Window.unboundedPreceding, 0)
-    return x._reframed(flat.select("i", "j", *(F.sum(c).over(over).alias(c) for c in flat.columns[2:])), x.shape, x.domain)
+    flat, stay = x._flat(), "j" if along == "i" else "i"
+    values, rows = flat.columns[2:], (Window.unboundedPreceding, 0)
+    if x.shape[x._axis(dim)] <= BLOCK:
+        over = line.orderBy(along).rowsBetween(*rows)
+        return x._reframed(flat.select("i", "j", *(F.sum(c).over(over).alias(c) for c in values)), x.shape, x.domain)
+    block = F.floor(F.col(along) / BLOCK).alias("block")
+    totals = flat.groupBy(stay, block).agg(*(F.sum(c).alias(c) for c in values))
+    ahead = Window.partitionBy(stay).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(F.col(stay).alias("line"), F.col("block").alias("own"), *(F.coalesce(F.sum(c).over(ahead), F.lit(0.0)).alias(f"{c}_ahead") for c in values))
+    own = flat.select("*", block)
+    over = Window.partitionBy(stay, "block").orderBy(along).rowsBetween(*rows)
+    inside = own.select("i", "j", "block", *(F.sum(c).over(over).alias(c) for c in values))
+    met = inside.join(offsets, (F.col(stay) == F.col("line")) & (F.col("block") == F.col("own")))
+    return x._reframed(met.select("i", "j", *((F.col(c) + F.col(f"{c}_ahead")).alias(c) for c in values)), x.shape, x.domain)
 
 
 def sort(x: Raster, dim: int = -1) -> Raster:
@@ -543,13 +565,16 @@ def rank_filter(x: Raster, window: int, rank: int, dim: int = -1) -> Raster:
     x._need("f", "rank_filter")
     if window < 1 or window % 2 == 0 or not 0 <= rank < window:
         raise TraceError(f"rank {rank} of window {window}")
-    along, line = _line(x, dim)
-    n, half = x.shape[x._axis(dim)], window // 2
-    own = line.orderBy(along)
+    along, _ = _line(x, dim)
+    stay, half = "j" if along == "i" else "i", window // 2
+    # long lines by blocks that hold half a window of their neighbours' samples too
+    at = lambda k: F.floor(F.greatest(F.lit(0), F.least(F.lit(x.shape[x._axis(dim)] - 1), F.col(along) + k)) / BLOCK)
+    flat = x._flat().withColumn("block", F.explode(F.sequence(at(-half), at(half))))
+    own = Window.partitionBy(stay, "block").orderBy(along)
     first, last = (f("re").over(own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) for f in (F.first, F.last))
     near = [F.coalesce(F.lead("re", k).over(own) if k >= 0 else F.lag("re", -k).over(own), last if k > 0 else first) for k in range(-half, half + 1)]
-    assert n
-    return x._reframed(x._flat().withColumn("w", F.array(*near)).select("i", "j", F.sort_array("w")[rank].alias("re")), x.shape, x.domain)
+    ranked = flat.withColumn("w", F.array(*near)).where(F.col("block") == at(0)).select("i", "j", F.sort_array("w")[rank].alias("re"))
+    return x._reframed(ranked, x.shape, x.domain)
 
 
 def median_filter(x: Raster, window: int, dim: int = -1) -> Raster:

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rastrum.errors import LaunchError
+from rastrum.errors import LaunchError, TraceError
 from rastrum.operators import lines as L
 from rastrum.plans import imaging, metrics
 from rastrum.sources import ceos
@@ -103,8 +103,15 @@ def test_scene_metrics(spark):
     image = rng.random((16, 16)) + np.pad(np.ones((8, 8)), ((0, 8), (8, 0))) * 5
     i, j = np.indices(image.shape)
     cells = spark.createDataFrame(list(zip(i.ravel().tolist(), j.ravel().tolist(), image.ravel().tolist())), "i long, j long, v double")
-    looked = image.reshape(8, 2, 8, 2).mean((1, 3))[:4, 4:]
-    assert metrics.scene_contrast(cells, 4, 2).first()[0] == pytest.approx(looked.std() / looked.mean())
+    for n in (16, 15, 14):  # the last with looks and tiles cut by the edges
+        part = cells.where(f"i < {n} and j < {n}")
+        looked = image[: n - n % 2, : n - n % 2].reshape(n // 2, 2, n // 2, 2).mean((1, 3))
+        tiles = [looked[a : a + 2, b : b + 2] for a in range(0, n // 2 - 1, 2) for b in range(0, n // 2 - 1, 2)]
+        best = max(tiles, key=np.sum)
+        assert metrics.scene_contrast(part, 4, 2).first()[0] == pytest.approx(best.std() / best.mean())
+    assert metrics.scene_contrast(cells, 32, 2).first()[0] is None
+    with pytest.raises(TraceError):
+        metrics.scene_contrast(cells, 5, 2)
     db = metrics.db_image(cells).agg(F.max("db"), F.min("db")).first()
     assert db[0] == pytest.approx(0, abs=1e-9) and db[1] >= -60
     flat = metrics.stretched(cells).agg(F.min("v"), F.max("v")).first()

@@ -2,21 +2,26 @@
 
 The trees see lexical features only: lengths, depth, digit ratio, entropy,
 parameter counts, and how often labelled URLs with the same host suffix are to
-be blocked.  They are trained here, on at most ``MOST_LABELLED`` labelled URLs,
-those with the smallest hash; every URL is judged.
+be blocked.  They are trained here, on about ``MOST_LABELLED`` labelled URLs at
+most: all of a label that has up to half as many, else those whose hash is under
+a limit, weighted so that both labels count as often as they occur.  The suffix
+rates that a URL is trained with come from the other ``FOLDS`` - 1 folds of the
+sample, so that its own label isn't among them.  Every URL is judged.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path
-and fits no rule; repeated rows and null ids stay; without labels of both kinds
-what no rule decides is allowed; an empty table gives no rows; other columns are
-left alone.
+and fits no rule; repeated rows and null ids stay, a repeated labelled URL counts
+once; without labels of both kinds what no rule decides is allowed; an empty
+table gives no rows; other columns are left alone.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -28,6 +33,7 @@ MOST_LABELLED = 10_000
 TREES, DEPTH, SEED = 12, 4, 7
 #: A suffix without labelled URLs counts as so many URLs of the average.
 PRIOR = 4.0
+FOLDS = 5
 
 # The rules (host and path) with their verdicts.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
@@ -95,26 +101,49 @@ def _with_rates(df: DataFrame, rates: dict[int, DataFrame], prior: float) -> Dat
     return df
 
 
+def suffix_rates(held: pd.DataFrame, k: int, prior: float) -> pd.DataFrame:
+    """(suffix, rate, seen) of a sample (__suffix<k>, __label, __weight)."""
+    marked = held.assign(bad=held["__label"] * held["__weight"])
+    seen = marked.groupby(f"__suffix{k}")[["bad", "__weight"]].sum().reset_index()
+    seen[f"__rate{k}"] = (seen["bad"] + PRIOR * prior) / (seen["__weight"] + PRIOR)
+    seen[f"__seen{k}"] = seen["__weight"].astype(float)
+    return seen[[f"__suffix{k}", f"__rate{k}", f"__seen{k}"]]
+
+
+def sample_of(labelled: DataFrame, url_col: str, label_col: str, most: int) -> pd.DataFrame:
+    """(__url, __label, __weight) of about ``most`` distinct URLs at most."""
+    rows = labelled.select(F.col(url_col).cast("string").alias("__url"), F.col(label_col).cast("double").alias("__label")).dropna()
+    counts = {r["__label"]: r["n"] for r in rows.groupBy("__label").agg(F.count("*").alias("n")).collect()}  # one row per label
+    under = F.lit(False)
+    for label, n in counts.items():
+        limit = min(1 << 31, -(-((most // 2) << 31) // n))
+        under = under | ((F.col("__label") == label) & (F.pmod(F.xxhash64("__url"), F.lit(1 << 31)) < limit))
+    picked = rows.where(under).distinct().orderBy("__url", "__label").toPandas()  # about most // 2 rows of each label at most
+    took = picked["__label"].value_counts()
+    picked["__weight"] = [counts[x] / took[x] / sum(counts.values()) * len(picked) for x in picked["__label"]]
+    return picked
+
+
 def train(labelled: DataFrame, url_col: str = "url", label_col: str = "blocked", most: int = MOST_LABELLED):
     """(model, suffix rates, prior) from labelled URLs, or None if only one label occurs."""
-    rows = labelled.select(F.col(url_col).cast("string").alias("__url"), F.col(label_col).cast("double").alias("__label")).dropna().distinct()
-    picked = rows.orderBy(F.xxhash64("__url"), "__url", "__label").limit(most).toPandas()  # at most ``most`` rows
+    picked = sample_of(labelled, url_col, label_col, most)
     if picked["__label"].nunique() < 2:
         return None
     spark = labelled.sparkSession
-    sample = _featured(spark.createDataFrame(picked, "__url string, __label double").coalesce(1))
-    prior = float(picked["__label"].mean())
-    held = sample.toPandas()
-    sample = spark.createDataFrame(held, sample.schema)
-    rates = {}
-    for k in (2, 3):  # at most one row per labelled URL
-        seen = held.groupby(f"__suffix{k}")["__label"].agg(["sum", "count"]).reset_index()
-        seen[f"__rate{k}"] = (seen["sum"] + PRIOR * prior) / (seen["count"] + PRIOR)
-        seen[f"__seen{k}"] = seen["count"].astype(float)
-        rates[k] = spark.createDataFrame(seen[[f"__suffix{k}", f"__rate{k}", f"__seen{k}"]], f"__suffix{k} string, __rate{k} double, __seen{k} double")
-    ready = _assembler().transform(_with_rates(sample, rates, prior).coalesce(1))
-    model = GBTClassifier(featuresCol="__features", labelCol="__label", predictionCol="__blocked", maxIter=TREES, maxDepth=DEPTH, seed=SEED, maxBins=32).fit(ready)
-    return model, rates, prior
+    held = _featured(spark.createDataFrame(picked, "__url string, __label double, __weight double").coalesce(1)).toPandas()
+    prior = float((held["__label"] * held["__weight"]).sum() / held["__weight"].sum())
+    rates = {k: spark.createDataFrame(suffix_rates(held, k, prior), f"__suffix{k} string, __rate{k} double, __seen{k} double") for k in (2, 3)}  # at most one row per labelled URL
+    fold = held["__url"].map(lambda u: zlib.crc32(u.encode()) % FOLDS)
+    ready = []
+    for f in range(FOLDS):
+        own = held[fold == f]
+        for k in (2, 3):
+            own = own.merge(suffix_rates(held[fold != f], k, prior), "left", f"__suffix{k}")
+            own = own.fillna({f"__rate{k}": prior, f"__seen{k}": 0.0})
+        ready.append(own)
+    rows = pd.concat(ready)
+    model = GBTClassifier(featuresCol="__features", labelCol="__label", weightCol="__weight", predictionCol="__blocked", maxIter=TREES, maxDepth=DEPTH, seed=SEED, maxBins=32)
+    return model.fit(_assembler().transform(spark.createDataFrame(rows).coalesce(1))), rates, prior
 
 
 def _assembler() -> VectorAssembler:

@@ -27,6 +27,7 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -47,12 +48,11 @@ SHARD_BYTES, MOST_SHARDS = 8 << 20, 100_000
 #: Shards whose totals are added up as one.
 GROUP = 4096
 #: Pieces of text whose ids a worker keeps.
-MOST_KEPT = 400_000
+MOST_KEPT = 1_000_000
 #: Bytes of text that are encoded at once.
 BLOCK = 8 << 20
 
 _BLANK = r"\s\v\x{85}\p{Z}\x1c-\x1f"
-_MARKS = tuple(".,;:!?")
 
 
 class Encoder:
@@ -68,50 +68,55 @@ class Encoder:
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.kept: dict[str, np.ndarray] = {}
         byte_level = self.tokenizer.get_vocab(with_added_tokens=False)
         self.width = np.zeros(max(byte_level.values()) + 1, np.int64)
         for token, i in byte_level.items():
             self.width[i] = len(token)  # a character stands for a byte
-
-    def _learn(self, new: list[str]) -> None:
-        """Encode pieces in runs and cut the ids where the pieces' bytes end; one
-        with white space next to a cut is encoded alone.  A word with a mark at
-        its end is put together from both."""
-        ends = {p: p[:-1] for p in new if p[-1:] in _MARKS and p[-2:-1].isalnum() and p[-2:-1].isascii()}  # no match goes on from a letter to a mark
-        stems = set(ends.values()).union(_MARKS).difference(self.kept)
-        new = list(stems.union(p for p in new if p not in ends))
-        inner = lambda p: p[:1] == " " and not p[1:2].isspace() and not p[-1:].isspace()
-        spaced = list(filter(inner, new))
-        alone = [p for p in new if not inner(p)]
-        for p, e in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False), strict=True):
-            self.kept[p] = np.array(e.ids, "<u4")
-        runs = [spaced[at : at + 32] for at in range(0, len(spaced), 32)]
-        for run, e in zip(runs, self.tokenizer.encode_batch_fast(list(map("".join, runs)), add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, "<u4")
-            stops = np.cumsum([len(p.encode()) for p in run])
-            cuts = (np.searchsorted(np.cumsum(self.width[ids]), stops) + 1).tolist()
-            self.kept.update((p, ids[a:z].copy()) for p, a, z in zip(run, [0, *cuts], cuts, strict=False))
-        self.kept.update((p, np.concatenate([self.kept[stem], self.kept[p[-1]]])) for p, stem in ends.items())
-
-    def _by_pieces(self, marked: pa.Array) -> list[np.ndarray]:
+        self._forget()
+
+    def _forget(self) -> None:
+        """Pieces that are kept, how many ids each has, and the ids one after the other."""
+        self.known, self.size, self.ids = pa.array([], pa.string()), np.zeros(0, np.int64), np.zeros(0, "<u4")
+
+    def _encoded(self, texts: list[str]) -> Iterator[list[int]]:
+        for at in range(0, len(texts), 256):  # so many at once, as their ids are objects first
+            for e in self.tokenizer.encode_batch_fast(texts[at : at + 256], add_special_tokens=False):
+                yield e.ids
+
+    def _learn(self, new: pa.Array) -> None:
+        """Encode pieces in runs of 64 and cut the ids where the pieces' bytes end;
+        a piece with white space next to a cut is encoded alone."""
+        inner = pc.and_(pc.match_substring_regex(new, f"^ [^{_BLANK}]"), pc.match_substring_regex(new, f"[^{_BLANK}]$"))
+        spaced, alone = new.filter(inner), new.filter(pc.invert(inner))
+        bounds = np.append(0, np.cumsum(pc.binary_length(spaced).to_numpy())).tolist()
+        raw = b"".join(spaced.cast(pa.binary()).to_pylist())
+        runs = [raw[a:z].decode() for a, z in zip(bounds[:-1:64], [*bounds[64::64], bounds[-1]])]
+        ids = np.fromiter(chain.from_iterable(self._encoded(runs)), "<u4")
+        stops = np.searchsorted(np.cumsum(self.width[ids]), bounds[1:]) + 1
+        rest = list(self._encoded(alone.to_pylist()))
+        self.known = pa.concat_arrays([self.known, spaced, alone])
+        self.size = np.concatenate([self.size, np.diff(stops, prepend=0), np.fromiter(map(len, rest), np.int64, len(rest))])
+        self.ids = np.concatenate([self.ids, ids, np.fromiter(chain.from_iterable(rest), "<u4")])
+
+    def _by_pieces(self, marked: pa.Array) -> list[bytes]:
         """Ids of texts whose pieces are divided by zero characters."""
         cut = pc.split_pattern(marked, "\0")
         pieces = cut.flatten().dictionary_encode()
-        own = pieces.dictionary.to_pylist()
-        if len(self.kept) > MOST_KEPT:
-            self.kept.clear()
-        self._learn([p for p in own if p not in self.kept])
-        ids = [self.kept[p] for p in own]
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        first, at = np.cumsum(size) - size, pieces.indices.to_numpy()
-        flat, n = np.concatenate([np.zeros(0, "<u4"), *ids]), size[at]
+        own = pieces.dictionary
+        if len(self.known) > MOST_KEPT:
+            self._forget()
+        found = pc.index_in(own, value_set=self.known)
+        self._learn(own.filter(found.is_null()))
+        found = pc.index_in(own, value_set=self.known).to_numpy() if found.null_count else found.to_numpy()
+        first, at = np.cumsum(self.size) - self.size, found[pieces.indices.to_numpy()]
+        n = self.size[at]
         stops = np.append(0, np.cumsum(n))
-        every = flat[np.repeat(first[at] - stops[:-1], n) + np.arange(stops[-1])]
-        ends = stops[cut.offsets.to_numpy() - cut.offsets[0].as_py()].tolist()
-        return [every[a:z] for a, z in zip(ends, ends[1:], strict=False)]
+        raw = self.ids[np.repeat(first[at] - stops[:-1], n) + np.arange(stops[-1])].tobytes()
+        ends = (4 * stops[cut.offsets.to_numpy() - cut.offsets[0].as_py()]).tolist()
+        return list(map(raw.__getitem__, map(slice, ends, ends[1:])))
 
-    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Each text's ids, as little-endian unsigned 32-bit integers."""
         whole = pc.match_substring(texts, "\0")
         for token in self.added:
             whole = pc.or_(whole, pc.match_substring(texts, token))
@@ -128,7 +133,7 @@ class Encoder:
             elif k == 1:
                 found = self._by_pieces(pc.replace_substring_regex(some, f"([^{_BLANK}]) ", "\\1\0 "))
             else:
-                found = [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(some.to_pylist(), add_special_tokens=False)]
+                found = [np.array(ids, "<u4").tobytes() for ids in self._encoded(some.to_pylist())]
             for i, x in zip(at.tolist(), found, strict=True):
                 out[i] = x
         return out
@@ -158,7 +163,7 @@ def train_dictionary(docs: DataFrame, vocabulary: str, n_docs: int = SAMPLE_DOCS
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = _encoder(vocabulary).encode(b["text"])
-            yield pa.RecordBatch.from_arrays([b["h"], pa.array([i[:n_ids].tobytes() for i in ids], pa.binary())], names=["h", "ids"])
+            yield pa.RecordBatch.from_arrays([b["h"], pa.array([i[: 4 * n_ids] for i in ids], pa.binary())], names=["h", "ids"])
 
     samples = [bytes(r["ids"]) for r in picked.mapInArrow(run, "h long, ids binary").orderBy("h").collect()]  # about n_docs rows of 4 * n_ids bytes
     try:
@@ -195,12 +200,13 @@ def write(docs: DataFrame, out: str, vocabulary: str, id_col: str = "doc_id", te
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(held.value))
+        last = np.array([end], "<u4").tobytes()
         for b in batches:
             at = 0
             for block in _blocks(b["text"]):
-                ids = [np.append(i, np.uint32(end)) for i in _encoder(vocabulary).encode(block)]
-                frames = pa.array([packer.compress(i.tobytes()) for i in ids], pa.binary())
-                yield pa.RecordBatch.from_arrays([b["id"].slice(at, len(block)), pa.array(list(map(len, ids)), pa.int64()), frames], names=["id", "n_tokens", "frame"])
+                ids = [i + last for i in _encoder(vocabulary).encode(block)]
+                frames = pa.array(list(map(packer.compress, ids)), pa.binary())
+                yield pa.RecordBatch.from_arrays([b["id"].slice(at, len(block)), pa.array([len(i) // 4 for i in ids], pa.int64()), frames], names=["id", "n_tokens", "frame"])
                 at += len(block)
 
     packed = materialize(docs.mapInArrow(pack, "id long, n_tokens long, frame binary").withColumn("row", F.monotonically_increasing_id()), "frames")

@@ -90,7 +90,17 @@ def test_seats_follow_the_restaurant():
     assert (lm.seats(np.array([1, 1]), np.array([5.0, 9.0]), d, keys[:2]) == 1).all()
     both = np.array([3, 70, 5000, 1, 64, 65])
     assert (lm.seats(both, both / 9.0, d, keys[:6])[::-1] == lm.seats(both[::-1], both[::-1] / 9.0, d, keys[:6][::-1])).all()
-    assert lm.log_gamma(np.array([0.3, 7.5, 1e6])) == pytest.approx([math.lgamma(x) for x in (0.3, 7.5, 1e6)])
+    few = lm.seats(np.full(4000, 20_000), np.full(4000, 0.02), 0.05, keys)
+    one = []
+    for _ in range(400):
+        u, t, i = rng.random(20_000), 1, 1
+        while i < 20_000:
+            hit = np.flatnonzero(u[i:] * (0.02 + np.arange(i, 20_000) - 0.05 * t) < 0.02)
+            if not len(hit):
+                break
+            i, t = i + int(hit[0]) + 1, t + 1
+        one.append(t)
+    assert abs(np.mean(one) - few.mean()) < 4 * np.std(one) / 20
 
 
 def test_word_order_matters(spark):

@@ -13,6 +13,11 @@ again, until they are unique, settled, or past the threshold, where a run is one
 string of ``length`` bytes.  Ranks are names of 64 bits, so no round needs the
 whole order; of strings that are compared, the anchors' names are equal too.
 
+``method="doubling"`` is the plain form: Spark sorts the pairs of ranks of all
+starts at offsets that double and ranks them anew, starts that are alone left out
+before each round.  It compares bytes, not names, so it is exact, and it shuffles
+some forty bytes for each byte of text; the default holds runs instead.
+
 Defined results: a null text is empty; texts shorter than ``length`` are never
 touched; null ids take part; repeated rows are copies of each other; an empty
 table gives no rows; other columns are left alone, one called like a new column
@@ -26,14 +31,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rastrum.llm.common import materialize, per_worker, texts_of, unveiled, veiled, with_row_key
+from rastrum.llm.common import discard, materialize, per_worker, texts_of, unveiled, veiled, with_row_key
 
 LENGTH = 400
 ANCHOR = 100
+#: Bytes of the prefixes that doubling ranks first: three numbers of eight.
+FIRST = 24
 #: Starts in a run at each round after the first.
 STEPS = (32, 4, 1)
 #: Bytes of a text that are named at once.
@@ -185,6 +192,54 @@ def covered(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, steps:
     return _gathered(every, "__id", "__tag")
 
 
+_START = "d long, at int, times long, k0 long, k1 long, k2 long"
+
+
+def _ranked(rows: DataFrame, *keys: str) -> DataFrame:
+    """(d, at, times, rank) of the starts whose keys others have too; ranks are in the keys' order."""
+    more = rows.groupBy(*keys).agg(F.sum("times").alias("n")).where("n > 1").select(*keys)
+    order = materialize(more.orderBy(*keys).withColumn("new", F.monotonically_increasing_id()), "order")
+    ranks = materialize(rows.join(order, [*keys]).select("d", "at", "times", F.col("new").alias("rank")), "ranks")
+    discard(order)
+    return ranks
+
+
+def covered_by_doubling(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """What ``covered`` returns, by ranks of ever longer prefixes of all starts; ``length`` is ``FIRST`` at least.
+
+    Repeated rows are ranked once and counted as often as they occur."""
+    once = docs.groupBy("__id", "__tag").agg(F.first("__text").alias("__text"), F.count("*").alias("times"))
+    once = materialize(once.withColumn("d", F.monotonically_increasing_id()), "texts")
+
+    def starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for d, times, text in zip(b["d"].to_pylist(), b["times"].to_pylist(), texts_of(b), strict=True):
+                if len(text) < length:
+                    continue
+                for at in range(0, len(text) - FIRST + 1, BLOCK):
+                    own = np.frombuffer(text[at : at + BLOCK + FIRST - 1], np.uint8).astype(np.uint64)
+                    eight = np.zeros(len(own) - 7, np.uint64)
+                    for i in range(8):
+                        eight = eight << np.uint64(8) | own[i : i + len(eight)]
+                    n = len(own) - FIRST + 1
+                    keys = [pa.array(eight[i : i + n].view(np.int64)) for i in (0, 8, 16)]
+                    place = pa.array(np.arange(at, at + n, dtype=np.int32))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, d)), place, pa.array(np.full(n, times)), *keys], names=["d", "at", "times", "k0", "k1", "k2"])
+
+    every = materialize(once.select("d", "times", "__text").mapInArrow(starts, _START), "starts")
+    ranks, width = _ranked(every, "k0", "k1", "k2"), FIRST
+    discard(every)
+    while width < length:
+        step = min(width, length - width)
+        ahead = ranks.select("d", (F.col("at") - step).cast("int").alias("at"), F.col("rank").alias("next"))
+        pairs = materialize(ranks.join(ahead, ["d", "at"]), "pairs")
+        before, ranks, width = ranks, _ranked(pairs, "rank", "next"), width + step
+        discard(before, pairs)
+    in_a_row = F.col("at") - F.row_number().over(Window.partitionBy("d").orderBy("at"))
+    found = ranks.withColumn("run", in_a_row).groupBy("d", "run").agg(F.min("at").cast("long").alias("lo"), F.max("at").cast("long").alias("hi"))
+    return _gathered(found.join(once.select("d", "__id", "__tag"), "d").select("__id", "__tag", "lo", "hi"), "__id", "__tag")
+
+
 _PIECES = pa.schema(
     [(c, pa.int64()) for c in ("__id", "__tag", "at", "name", "start")]
     + [("piece", pa.binary()), ("__runs", pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64()), ("done", pa.bool_())])))]
@@ -210,12 +265,14 @@ def _without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, text[at:]])
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, **how) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, method: str = "anchors", **how) -> DataFrame:
     """The documents' rows with ``n_bytes``, ``n_removed``, ``n_spans``, ``kept``
-    (the bytes that stay; a character may be cut) and ``kept_sha256``."""
+    (the bytes that stay; a character may be cut) and ``kept_sha256``.
+
+    ``method`` is "anchors" or "doubling"; the rows are the same."""
     docs, names = veiled(docs)
     keyed = with_row_key(docs.withColumn("__text", F.coalesce(F.col(names[text_col]).cast("string"), F.lit(""))), names[id_col], "__text")
-    both = keyed.join(covered(keyed, length, **how), ["__id", "__tag"], "left").select(*docs.columns, "__text", "__runs")
+    both = keyed.join({"anchors": covered, "doubling": covered_by_doubling}[method](keyed, length, **how), ["__id", "__tag"], "left").select(*docs.columns, "__text", "__runs")
     own = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -288,12 +288,17 @@ def brute_repeats(rows, length):
 COLUMNS = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
-def test_suffix_dedup(docs, empty):
-    assert multiset(repeats.dedup(docs).select(*COLUMNS).collect()) == multiset(brute_repeats(DOCS, 400))
-    assert repeats.dedup(empty).count() == 0
+METHODS = pytest.mark.parametrize("method", ["anchors", "doubling"])
 
 
-def test_suffix_dedup_near_copies(spark):
+@METHODS
+def test_suffix_dedup(docs, empty, method):
+    assert multiset(repeats.dedup(docs, method=method).select(*COLUMNS).collect()) == multiset(brute_repeats(DOCS, 400))
+    assert repeats.dedup(empty, method=method).count() == 0
+
+
+@METHODS
+def test_suffix_dedup_near_copies(spark, method):
     rng = np.random.default_rng(3)
     words = [f"{'abcdefgh'[i % 8]}{i}" for i in range(300)]
     base = [str(w) for w in rng.choice(words, 500)]
@@ -306,21 +311,24 @@ def test_suffix_dedup_near_copies(spark):
         rows.append((d, " ".join(own[cut:])))
     rows.append((99, "ab" * 1000))
     table = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    assert multiset(repeats.dedup(table, length=400).select(*COLUMNS).collect()) == multiset(brute_repeats(rows, 400))
+    assert multiset(repeats.dedup(table, length=400, method=method).select(*COLUMNS).collect()) == multiset(brute_repeats(rows, 400))
 
 
-def test_suffix_dedup_across_blocks(spark, monkeypatch):
+@METHODS
+def test_suffix_dedup_across_blocks(spark, monkeypatch, method):
     text = LONG[:30_000]
     rows = [(1, text), (2, "shift " + text[2_000:20_000]), (3, text[:9_000] + "#" + text[9_000:12_000])]
     table = spark.createDataFrame(rows, "doc_id long, text string")
     monkeypatch.setattr(repeats, "BLOCK", 4096)
-    assert multiset(repeats.dedup(table).select(*COLUMNS).collect()) == multiset(brute_repeats(rows, 400))
+    assert multiset(repeats.dedup(table, method=method).select(*COLUMNS).collect()) == multiset(brute_repeats(rows, 400))
 
 
 def test_suffix_dedup_of_a_table(spark):
     got = queries.op6_suffix_dedup(spark, TABLES).collect()
     assert multiset(got) == multiset(brute_repeats(real(spark), 400))
     assert any(r["n_removed"] for r in got)
+    ranked = repeats.dedup(spark.read.parquet(f"{TABLES}/documents.parquet").select("doc_id", "text"), method="doubling")
+    assert multiset(ranked.select(*COLUMNS).collect()) == multiset(got)
 
 
 ODD = ["hello <|endoftext|> world", "<|endoftext|>", "zero \0 inside  twice", "nbsp\u00a0 \u00a0  then \x1c x \x85 y", "a \n b\tc\r\nd ", "  lead", "trail  \n\n", "\u3000wide\u2028 x", "it's  don't 12,34 5.6! ?"]

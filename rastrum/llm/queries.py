@@ -115,5 +115,37 @@ from f
 """
 
 
+_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
+# every window of the benchmark against every window of the documents of as many words
+_DECONTAM = """
+with d as (select row_number() over () as r, doc_id, {words} as w from documents),
+b as (select item_id, {words} as w from benchmark),
+i as (select item_id, w, least(len(w), 10) as k, unnest(range(1, len(w) - least(len(w), 10) + 2)) as nth from b where len(w) > 0),
+v as (select distinct item_id, k, array_to_string(w[nth:nth + k - 1], ' ') as g from i),
+p as (select r, k, w, unnest(range(1, len(w) - k + 2)) as nth from d, (select distinct k from v) where len(w) >= k),
+f as (select p.r, p.nth, v.k, v.item_id from p join v on v.k = p.k and v.g = array_to_string(p.w[p.nth:p.nth + p.k - 1], ' ')),
+c as (select r, count(distinct pos) as n_hit from (select r, unnest(range(nth, nth + k)) as pos from f) group by r),
+e as (select r, count(distinct item_id) as n_items, array_to_string(list_sort(list(distinct item_id::varchar)), ',') as items from f group by r)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+    sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join c using (r) left join e using (r)
+""".format(words=_WORDS)
+
+# texts as two digits a byte; starts whose 400 bytes have equal MD5
+_REPEATS = """
+with d as (select row_number() over () as r, doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+s as (select r, nth, md5(substr(h, 2 * nth + 1, 800)) as g from (select r, h, unnest(range(0, length(h) // 2 - 399)) as nth from d where length(h) >= 800)),
+f as (select r, nth from (select r, nth, count(*) over (partition by g) as n from s) where n > 1),
+o as (select r, nth, sum(new) over (partition by r order by nth) as span from (select r, nth, case when nth <= lag(nth) over (partition by r order by nth) + 400 then 0 else 1 end as new from f)),
+x as (select r, span, min(nth) as a, max(nth) + 400 as z from o group by r, span),
+y as (select r, a, z, coalesce(lag(z) over (partition by r order by a), 0) as before from x),
+k as (select y.r, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' order by a) as head, max(z) as last, sum(z - a) as n_removed, count(*) as n_spans from y join d using (r) group by y.r)
+select doc_id, (length(h) // 2)::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans,
+    sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(last, 0) + 1))) as kept_sha256
+from d left join k using (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secret_scan": _secrets_sql(), "op7_warc": _WARC}
+    return {"op1_secret_scan": _secrets_sql(), "op3_decontaminate": _DECONTAM, "op6_suffix_dedup": _REPEATS, "op7_warc": _WARC}

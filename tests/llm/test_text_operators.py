@@ -5,6 +5,7 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 import public_tokenizers
@@ -407,3 +408,15 @@ def test_secrets_of_every_kind(spark):
     kinds = [r["secret_spans"][-1]["kind"] for r in secrets.scan(table).orderBy("doc_id").collect()]
     assert kinds == ["github", "slack", "google", "stripe", "jwt", "private_key"]
     assert secrets.trigram_query("[0-9a-f]+") == []
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_queries_equal_their_sql(spark, name):
+    twin = duckdb.connect()
+    for table in ("documents", "benchmark", "pages"):
+        twin.execute(f"create view {table} as select * from '{TABLES}/{table}.parquet'")
+    found = twin.execute(queries.oracle_sql()[name])
+    columns, want = [c[0] for c in found.description], found.fetchall()
+    got = queries.queries()[name](spark, TABLES)
+    assert set(got.columns) == set(columns)
+    assert multiset(got.select(*columns).collect()) == multiset(want)

@@ -37,6 +37,8 @@ SHARD_BYTES = 12 << 20
 #: The shards grow with the table once there would be more than this many.
 MOST_SHARDS = 20_000
 ROLL_BYTES = 4 << 20
+#: Compressed bytes that a reading task takes.
+READ_BYTES = 16 << 20
 LEVEL = 4
 DATE = "2024-01-01T00:00:00Z"
 _NO_ID = -(1 << 63)
@@ -207,13 +209,19 @@ _MADE = pa.schema([("shard", pa.int32()), ("n", pa.int32()), ("file", pa.string(
 
 def read(spark, out: str) -> DataFrame:
     """(page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to) of
-    the manifest's files; a revisit's payload is null.  Digests are checked."""
+    the manifest's files; a revisit's payload is null.  Tasks open the files that the
+    manifest names, so no list of them passes through the driver.  Digests are checked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = pafs.FileSystem.from_uri(out)
         for b in batches:
-            for content in b["content"]:
+            for made in b.to_pylist():
+                with fs.open_input_stream(f"{root}/data/{made['file']}", compression=None) as source:
+                    content = source.read()
+                if hashlib.sha256(content).hexdigest() != made["sha256"]:
+                    raise ValueError(f"{made['file']}: not the file of the manifest")
                 rows = []
-                for head, block in parse(content.as_py()):
+                for head, block in parse(content):
                     if head["WARC-Block-Digest"] != "sha1:" + base64.b32encode(hashlib.sha1(block).digest()).decode():
                         raise ValueError(f"{head['WARC-Record-ID']}: block digest differs")
                     http, _, payload = block.partition(b"\r\n\r\n")
@@ -226,12 +234,10 @@ def read(spark, out: str) -> DataFrame:
                     rows.append({"page_id": number("Page-ID"), "url": head.get("WARC-Target-URI"), "payload": None if revisit else payload, "payload_bytes": size, "payload_digest": digest, "record_type": head["WARC-Type"], "refers_to": number("Refers-To-Page-ID")})
                 yield pa.RecordBatch.from_pylist(rows, _READ)
 
-    manifest = spark.read.parquet(f"{out}/manifest")
-    names = [r["file"] for r in manifest.select("file").collect()]  # a name per file of up to roll_bytes
-    if not names:
-        return spark.createDataFrame([], _READ_SQL)
-    files = spark.read.format("binaryFile").load([f"{out}/data/{n}" for n in names]).select("content")
-    return files.mapInArrow(run, _READ_SQL)
+    manifest = spark.read.parquet(f"{out}/manifest").select("file", "bytes", "sha256")
+    total = manifest.agg(F.sum("bytes")).first()[0] or 0
+    parts = min(max(spark.sparkContext.defaultParallelism, -(-total // READ_BYTES)), MOST_SHARDS)
+    return manifest.repartition(parts).mapInArrow(run, _READ_SQL)
 
 
 _READ = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])

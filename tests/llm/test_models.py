@@ -10,6 +10,7 @@ from collections import Counter
 import numpy as np
 import pyarrow.fs as pafs
 import pytest
+from pyspark.errors import PythonException
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -165,6 +166,20 @@ def test_warc(spark, pages):
     assert warc.round_trip(pages.where("false")).count() == 0
 
 
+def test_warc_reads_only_what_the_manifest_holds(spark, pages):
+    out = new_path(spark, "warc-test")
+    warc.write(pages, out, shard_bytes=10_000, roll_bytes=300)
+    whole = multiset(warc.read(spark, out).drop("payload").collect())
+    fs, root = pafs.FileSystem.from_uri(out)
+    first = min(f.path for f in fs.get_file_info(pafs.FileSelector(f"{root}/data")) if f.path.endswith(".warc.gz"))
+    fs.copy_file(first, f"{root}/data/shard-of-no-manifest.warc.gz")
+    assert multiset(warc.read(spark, out).drop("payload").collect()) == whole
+    with fs.open_output_stream(first, compression=None) as cut:
+        cut.write(b"cut")
+    with pytest.raises(PythonException, match="not the file of the manifest"):
+        warc.read(spark, out).collect()
+
+
 def test_warc_files_do_not_depend_on_partitions(spark, pages):
     made = []
     for n in (1, 5):

@@ -11,8 +11,8 @@ similarity: copies at 0.8 were seen to differ in up to eleven of 64.  So a secon
 search finds what is left: with the shingles of all texts in one order, two sets
 of similarity s share a shingle among the first n - ceil(s n) + 1 of each.  The
 order puts shingles in crowded cells of a count table last, so that common lines
-and passages are seldom in such a prefix; the table has a fixed size, is counted
-on a part of the texts, and only moves work.  In a bucket (the nodes with a
+and passages are seldom in such a prefix; the table has a fixed size, counts all
+texts, and only moves work.  In a bucket (the nodes with a
 shingle in their prefix) every node is first held against the one with the fewest
 shingles before it; then all of a bucket that are still in different groups, and
 that sizes and places do not rule out, are held against each other.
@@ -44,8 +44,8 @@ SHINGLE = 5
 #: Similarity is at least NUM / DEN.
 NUM, DEN = 4, 5
 SEED = 42
-#: Cells of the count table, and the share of texts (one in so many) that it counts.
-CELLS, PART = 1 << 18, 4
+#: Cells of the count table.
+CELLS = 1 << 18
 #: Postings are dealt by shingle in so many parts; a shingle goes by its upper 44 bits there, which only adds candidates.
 PARTS = 1 << 12
 POSTING = np.dtype([("g", "<i8"), ("node", "<i8"), ("at", "<i4"), ("n", "<i4")])
@@ -87,8 +87,7 @@ def levels(keyed: DataFrame) -> np.ndarray:
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], names=["cell", "n"])
 
-    part = keyed.where(F.pmod(F.xxhash64("__text"), F.lit(PART)) == 0).select("__text")
-    got = part.mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # CELLS rows at most
+    got = keyed.select("__text").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # CELLS rows at most
     n = np.zeros(CELLS)
     n[got["cell"].to_numpy()] = got["n"].to_numpy()
     usual = n.mean() + 4 * np.sqrt(n.mean())

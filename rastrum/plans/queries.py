@@ -181,6 +181,58 @@ _of_z(
         *(_r(e.replace("#", "(2 * pi() * ((z.j * k + z.i * u) % 16) / 16)")) for e in ("sum(re * cos(#) + im * sin(#))", "sum(im * cos(#) - re * sin(#))"))
     ),
 )
+_of_z("fft_ortho", lambda z: R.fft(z, 1, "ortho"), _DFT.format(*(_r(f"({e}) / 8") for e in _FORWARD)))
+_of_z("fft_forward", lambda z: R.fft(z, 1, "forward"), _DFT.format(*(_r(f"({e}) / 64") for e in _FORWARD)))
+_of_z(
+    "ifft2",
+    lambda z: R.ifft2(R.Raster(z[:16, :16].frame, F.col("re"), F.col("im"), T.c128[16, 16], ((True, False), (True, False)))),
+    "select u as i, k as j, {} as re, {} as im from (select * from z where i < 16 and j < 16) z, range(0, 16) as t(k), range(0, 16) as s(u) group by 1, 2".format(
+        *(_r(e.replace("#", "(2 * pi() * ((z.j * k + z.i * u) % 16) / 16)")) for e in ("sum(re * cos(#) - im * sin(#)) / 256", "sum(im * cos(#) + re * sin(#)) / 256"))
+    ),
+)
+# interpolation at j + 0.6: the taps k samples from j, and where the boundary finds them
+_D = "(0.6 - k)"
+_SINC = f"sin(pi() * {_D}) / (pi() * {_D})"
+_I0 = "list_sum(list_transform(range(0, 30), lambda m: pow({} / 2, 2 * m) / pow(factorial(m::int)::double, 2)))"
+_SHAPE = f"least(abs({_D}) / 4, 1.0)"
+_KERNELS = {
+    "nearest": ("1.0", (1, 2)),
+    "linear": ("case when k = 0 then 0.4 else 0.6 end", (0, 2)),
+    "cubic": (f"case when abs({_D}) < 1 then (1.5 * abs({_D}) - 2.5) * {_D} * {_D} + 1 else ((-0.5 * abs({_D}) + 2.5) * abs({_D}) - 4) * abs({_D}) + 2 end", (-1, 3)),
+    "sinc_rect": (_SINC, (-3, 5)),
+    "sinc_hann": (f"{_SINC} * (0.5 + 0.5 * cos(pi() * {_SHAPE}))", (-3, 5)),
+    "sinc_hamming": (f"{_SINC} * (0.54 + 0.46 * cos(pi() * {_SHAPE}))", (-3, 5)),
+    "sinc_kaiser": (f"{_SINC} * {_I0.format(f'(2.5 * sqrt(1 - {_SHAPE} * {_SHAPE}))')} / {_I0.format('2.5')}", (-3, 5)),
+}
+_FOUND = {"zero": "x.j + k", "edge": f"greatest(least(x.j + k, {N - 1}), 0)", "reflect": f"case when (x.j + k + {2 * N}) % {2 * N} < {N} then (x.j + k + {2 * N}) % {2 * N} else {2 * N - 1} - (x.j + k + {2 * N}) % {2 * N} end"}
+for _name, _boundary in (("nearest", "edge"), ("linear", "reflect"), ("cubic", "zero"), ("cubic", "reflect"), ("sinc_rect", "edge"), ("sinc_hann", "zero"), ("sinc_hamming", "edge"), ("sinc_kaiser", "reflect")):
+    _weight, _taps = _KERNELS[_name]
+    _kind, _, _shape = _name.partition("_")
+    _of_z(
+        f"interp1d_{_name}_{_boundary}",
+        lambda z, k=_kind, w=_shape or "hann", b=_boundary: R.interp1d(z, R.Raster(z.frame, F.col("j") + F.lit(0.6), None, T.f64[z.shape]), kernel=k, window=w, boundary=b),
+        f"select x.i, x.j, {_r(f'sum(({_weight}) * y.re)')} as re, {_r(f'sum(({_weight}) * y.im)')} as im from z x, range({_taps[0]}, {_taps[1]}) as t(k), z y where y.i = x.i and y.j = {_FOUND[_boundary]} group by 1, 2",
+    )
+# the wavenumber grid: lines at Doppler frequencies -500 to 500 Hz, samples at range frequencies -1 to 1 MHz
+_of_z(
+    "stolt_interp",
+    lambda z: R.stolt_interp(z, np.linspace(-500, 500, z.shape[0]), np.linspace(-1e6, 1e6, N), c=3e8, fc=1.27e9, vr=7100.0, t_shift=1.5e-6),
+    f", f as (select *, -1e6 + 2e6 * j / {N - 1} as fr, -500 + 1000 * i / (select max(i) from a)::double as fa from z),"
+    " s as (select i, j, fr, re * cos(2 * pi() * fr * 1.5e-6) - im * sin(2 * pi() * fr * 1.5e-6) as re, re * sin(2 * pi() * fr * 1.5e-6) + im * cos(2 * pi() * fr * 1.5e-6) as im,"
+    f" (sqrt((fr + 1.27e9) * (fr + 1.27e9) + (3e8 * fa / 14200) * (3e8 * fa / 14200)) - 1.27e9 + 1e6) / (2e6 / {N - 1}) as p from f),"
+    " t as (select i, j, fr, p, floor(p)::bigint + k as k, p - floor(p) - k as d from s, range(-3, 5) as t(k)),"
+    " w as (select t.i, t.j, t.fr, sum(case when d = 0 then 1.0 else sin(pi() * d) / (pi() * d) end * (0.5 + 0.5 * cos(pi() * least(abs(d) / 4, 1.0))) * coalesce(s.re, 0)) as re,"
+    " sum(case when d = 0 then 1.0 else sin(pi() * d) / (pi() * d) end * (0.5 + 0.5 * cos(pi() * least(abs(d) / 4, 1.0))) * coalesce(s.im, 0)) as im from t left join s on s.i = t.i and s.j = t.k group by 1, 2, 3)"
+    f" select i, j, {_r('re * cos(2 * pi() * fr * 1.5e-6) + im * sin(2 * pi() * fr * 1.5e-6)')} as re, {_r('im * cos(2 * pi() * fr * 1.5e-6) - re * sin(2 * pi() * fr * 1.5e-6)')} as im from w",
+)
+# offsets that are read when the job runs
+_of_a(
+    "dynamic_slice_at_peak",
+    lambda a: R.dynamic_slice(a, (R.argmax(R.mean(a, 1)), R.argmax(R.mean(a, 0))), (4, 8)),
+    ", p as (select (select i from (select i, avg(v) as m from a group by 1) order by m desc, i limit 1) as r, (select j from (select j, avg(v) as m from a group by 1) order by m desc, j limit 1) as c),"
+    f" o as (select least(r, (select max(i) from a) - 3) as r, least(c, {N - 8}) as c from p)"
+    f" select i - r as i, j - c as j, {_r('v')} as v from a, o where i >= r and i < r + 4 and j >= c and j < c + 8",
+)
 _WINDOWS = {"rect": "1.0", "hanning": "0.5 - 0.5 * cos(x)", "hamming": "0.54 - 0.46 * cos(x)", "blackman": "0.42 - 0.5 * cos(x) + 0.08 * cos(2 * x)"}
 for _name, _e in _WINDOWS.items():
     _QUERIES[f"window_{_name}"] = (

@@ -619,18 +619,33 @@ def slice_(x: Raster, keys: tuple) -> Raster:
     return x
 
 
-def dynamic_slice(x: Raster, offsets, sizes) -> Raster:
-    """A window whose offsets are clamped so that all of it fits."""
-    at = tuple(min(max(int(o), 0), n - s) for o, n, s in zip(offsets, x.shape, sizes, strict=True))
-    if any(s < 1 or s > n for s, n in zip(sizes, x.shape)):
-        raise TraceError(f"window {sizes} of {x.shape}")
-    return slice_(x, tuple(slice(o, o + s) for o, s in zip(at, sizes)))
+def _offset(o, n: int, size: int) -> int | Column:
+    """Clamped so that ``size`` samples of ``n`` fit; an i64 raster of one sample is read when the job runs."""
+    if not isinstance(o, Raster):
+        return min(max(int(o), 0), n - size)
+    if o.dtype != T.i64 or o.size != 1:
+        raise TraceError(f"an offset is an integer or an i64 raster of one sample, not {o.spec}")
+    return F.least(F.greatest(o.frame.select(o.re.alias("o")).scalar(), F.lit(0)), F.lit(n - size)).cast("long")
+
+
+def dynamic_slice(x: Raster, offsets, sizes, strides=None) -> Raster:
+    """A window whose offsets are clamped so that all of it fits; samples ``strides`` apart."""
+    strides = (1,) * x.rank if strides is None else tuple(strides)
+    if not len(offsets) == len(sizes) == len(strides) == x.rank or any(s < 1 or t < 1 or (s - 1) * t >= n for s, t, n in zip(sizes, strides, x.shape)):
+        raise TraceError(f"window {sizes} by {strides} at {len(offsets)} offsets of {x.shape}")
+    for dim, (o, s, t) in enumerate(zip(offsets, sizes, strides)):
+        span = (s - 1) * t + 1
+        at = _offset(o, x.shape[dim], span)
+        x = _moved(x, dim, lambda c, n, at=at, t=t: F.floor((c - at) / t), s, lambda c, at=at, t=t, span=span: (c >= at) & (c < at + span) & ((c - at) % t == 0))
+    return x
 
 
 def dynamic_update_slice(x: Raster, update: Raster, offsets) -> Raster:
     if update.dtype != x.dtype or update.rank != x.rank:
         raise TraceError("an update has the type and rank of what it goes to")
-    at = [min(max(int(o), 0), n - s) for o, n, s in zip(offsets, x.shape, update.shape, strict=True)]
+    if len(offsets) != x.rank or any(m > n for m, n in zip(update.shape, x.shape)):
+        raise TraceError(f"an update of {update.shape} at {len(offsets)} offsets doesn't fit {x.shape}")
+    at = [_offset(o, n, m) for o, n, m in zip(offsets, x.shape, update.shape)]
     for dim, o in enumerate(at):
         update = _moved(update, dim, lambda c, n, o=o: c + o)
     flat, new = x._flat(), update._flat()

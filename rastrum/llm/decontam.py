@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rastrum.llm.common import materialize, texts_of, unveiled, veiled, with_row_key
+from rastrum.llm.common import in_parts, materialize, texts_of, unveiled, veiled, with_row_key
 
 N = 10
 #: A hash set of more bytes, as a worker holds it, is joined, not broadcast.
@@ -115,7 +115,7 @@ def _by_broadcast(keyed: DataFrame, items: DataFrame, n: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = WindowSet(*held.value)
-        for b in batches:
+        for b in in_parts(batches):
             counts, hit, named = [], [], []
             for t in texts_of(b):
                 n_words, marks, found = windows.hits(t)
@@ -123,9 +123,10 @@ def _by_broadcast(keyed: DataFrame, items: DataFrame, n: int) -> DataFrame:
                 hit.append(np.flatnonzero(marks).tolist())
                 named.append(sorted(found))
             new = [pa.array(counts, pa.int64()), pa.array(hit, pa.list_(pa.int32())), pa.array(named, pa.list_(pa.string()))]
+            b = b.drop_columns(["__text"])  # the table's own column goes on, not this copy
             yield pa.RecordBatch.from_arrays([*b.columns, *new], names=[*b.schema.names, "__n_words", "__hit", "__items"])
 
-    return keyed.mapInArrow(run, T.StructType([*keyed.schema.fields, *_HITS]))
+    return keyed.mapInArrow(run, T.StructType([*keyed.drop("__text").schema.fields, *_HITS]))
 
 
 _HITS = (T.StructField("__n_words", T.LongType()), T.StructField("__hit", T.ArrayType(T.IntegerType())), T.StructField("__items", T.ArrayType(T.StringType())))

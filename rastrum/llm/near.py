@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rastrum.llm import simhash
-from rastrum.llm.common import connected_components, discard, materialize, texts_of, with_row_key
+from rastrum.llm.common import connected_components, discard, in_parts, materialize, texts_of, with_row_key
 
 SHINGLE = 5
 #: Similarity is at least NUM / DEN.
@@ -81,7 +81,7 @@ def levels(keyed: DataFrame) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(CELLS, np.int64)
-        for b in batches:
+        for b in in_parts(batches):
             for text in texts_of(b):
                 np.add.at(n, shingles(text) & (CELLS - 1), 1)
         at = np.flatnonzero(n)
@@ -103,7 +103,7 @@ def nodes(keyed: DataFrame) -> DataFrame:
     """(id, __id, __tag, node, fp, n, counts) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in in_parts(batches):
             own = list(map(shingles, texts_of(b)))
             found = [
                 pa.array(list(map(node_of, own)), pa.int64()),
@@ -121,7 +121,7 @@ def postings(keyed: DataFrame, level: np.ndarray) -> DataFrame:
     held = keyed.sparkSession.sparkContext.broadcast(level)  # CELLS bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in in_parts(batches, 4096):
             all_ = []
             for text in texts_of(b):
                 own = shingles(text)
@@ -167,7 +167,7 @@ def sets(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hit = np.unpackbits(held.value).astype(bool)
-        for b in batches:
+        for b in in_parts(batches):
             b = b.filter(pa.array(hit[b["bit"].to_numpy()]))
             found = pa.array([shingles(t) for t in texts_of(b)], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([b["__id"], b["__tag"], found], names=["__id", "__tag", "s"])

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rastrum.llm.common import texts_of, unveiled, veiled
+from rastrum.llm.common import in_parts, texts_of, unveiled, veiled
 
 NGRAM = 4
 BUCKETS = 1 << 15
@@ -93,7 +93,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, good = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
-        for b in batches:
+        for b in in_parts(batches):
             for text, trusted, part in zip(texts_of(b), b["__trusted"].to_pylist(), b["__part"].to_pylist(), strict=True):
                 for x in ngram_buckets(text):
                     n = np.bincount(x, minlength=BUCKETS) if len(x) > BUCKETS // 8 else x
@@ -153,7 +153,7 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     held = docs.sparkSession.sparkContext.broadcast(ratio)  # BUCKETS numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in in_parts(batches):
             texts = texts_of(b)
             counts = np.array([rules(t) for t in texts], np.int64).reshape(-1, 5)
             scores = np.array([mean_ratio(t, held.value) for t in texts], float)

@@ -1,9 +1,11 @@
 """Near copies on five-word shingles against brute force."""
 
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from rastrum.llm import near
+from rastrum.llm import decontam, near
+from rastrum.llm.common import in_parts, texts_of
 from tests.llm.conftest import DOCS
 from tests.llm.test_text_operators import SPACE, TABLES, lower
 
@@ -59,3 +61,12 @@ def test_near_duplicate_stage(spark, source):
 
 def test_near_of_nothing(empty):
     assert near.dedup(empty).count() == 0
+
+
+def test_workers_take_texts_in_parts_and_carry_them_once(spark, docs):
+    batch = pa.RecordBatch.from_pydict({"__text": ["a", "b", None, "d", "e"]})
+    parts = list(in_parts(iter([batch, batch.slice(0, 0)]), 2))
+    assert [p.num_rows for p in parts] == [2, 2, 1] and [t for p in parts for t in texts_of(p)] == [b"a", b"b", b"", b"d", b"e"]
+    found = decontam.scan(docs, spark.createDataFrame([("i", "one two three")], "item_id string, text string"))
+    plan = next(x for x in found._jdf.queryExecution().optimizedPlan().toString().split("\n") if "MapInArrow" in x)
+    assert "__hit" in plan and "__text" not in plan.split("[")[-1]

@@ -26,7 +26,8 @@ predictive probabilities of ``SAMPLES`` sweeps are averaged.
 
 The class model has at most (COMMON + 1) ** 2 probabilities and the spelling model
 257 * 256 * 256 by construction; both are broadcast.  Word probabilities are
-broadcast (24 bytes each) up to ``MOST_WORDS`` words; above, tokens are joined with
+broadcast (24 bytes each) up to ``MOST_WORDS`` words, in ``PIECES`` pieces, of
+which the driver holds one at a time; above, tokens are joined with
 the table instead, with the same result.  Counts are over all training texts.
 
 Defined results: a null text is empty: one end token; a null id is never held
@@ -50,7 +51,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rastrum.llm.common import discard, materialize, texts_of, with_row_key
+from rastrum.llm.common import discard, in_parts, materialize, texts_of, with_row_key
 
 BURN_IN, SAMPLES = 2, 2
 STRENGTH = 1.0
@@ -60,6 +61,8 @@ SEATED = 64
 #: Words with a restaurant of their own for what follows them.
 COMMON = 1024
 MOST_WORDS = 8 << 20
+#: Word probabilities are broadcast in so many pieces, by the hash's upper four bits.
+PIECES = 16
 SEED = 11
 FOLDS, HELD_OUT = 7, 2
 _END = 0x20
@@ -142,7 +145,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter[bytes] = Counter()
-        for b in batches:
+        for b in in_parts(batches):
             for doc_id, text in zip(b["id"].to_pylist(), texts_of(b), strict=True):
                 if not held_out(doc_id):
                     found.update(tokens_of(text))
@@ -277,7 +280,7 @@ def class_counts(docs: DataFrame, classes: Classes) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((classes.n + 1) ** 2, np.int64)
-        for b in batches:
+        for b in in_parts(batches):
             held = []
             for doc_id, text in zip(b["id"].to_pylist(), texts_of(b), strict=True):
                 if not held_out(doc_id):
@@ -418,6 +421,43 @@ def score(docs: DataFrame, model: Model, most_words: int = MOST_WORDS) -> DataFr
     return (_score_by_broadcast if model.v <= most_words else _score_by_join)(docs, model)
 
 
+def _piece_of(h: np.ndarray) -> np.ndarray:
+    return (h >> np.int64(60)) + PIECES // 2
+
+
+def broadcast_by_hash(numbered: DataFrame, counts: type) -> list | None:
+    """Broadcasts of the sorted rows (h, c, p), one for each sixteenth of the hashes, or nothing if two hashes are equal.
+
+    The driver holds one piece at a time, not the table."""
+    rows = materialize(numbered, "numbers")
+    pieces = []
+    for k in range(PIECES):
+        lo = (k - PIECES // 2) << 60
+        got = rows.where(F.col("h").between(lo, lo + (1 << 60) - 1)).toArrow()  # a sixteenth of most_words rows
+        order = np.argsort(h := got["h"].to_numpy())
+        h = h[order]
+        if (h[1:] == h[:-1]).any():
+            pieces = None
+            break
+        pieces.append(numbered.sparkSession.sparkContext.broadcast((h, got["c"].to_numpy()[order].astype(counts), got["p"].to_numpy()[order])))
+    discard(rows)
+    return pieces
+
+
+def looked_up(asked: np.ndarray, pieces: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which hashes are known, and their counts and probabilities, 0 where they aren't."""
+    known, c, p = np.zeros(len(asked), bool), np.zeros(len(asked)), np.zeros(len(asked))
+    part = _piece_of(asked)
+    for k in np.unique(part).tolist():
+        h, counts, logs = pieces[k].value
+        if len(h):
+            i = np.flatnonzero(part == k)
+            at = np.minimum(np.searchsorted(h, asked[i]), len(h) - 1)
+            i, at = i[hit := h[at] == asked[i]], at[hit]
+            known[i], c[i], p[i] = True, counts[at], logs[at]
+    return known, c, p
+
+
 def _score_by_broadcast(docs: DataFrame, model: Model) -> DataFrame:
     of = model.log_probability()
 
@@ -429,23 +469,18 @@ def _score_by_broadcast(docs: DataFrame, model: Model) -> DataFrame:
                 p = np.where(b["common"].to_numpy(zero_copy_only=False), 0.0, of(own, c, b["tables"].to_numpy(zero_copy_only=False)))
                 yield pa.RecordBatch.from_arrays([pa.array(hashes_of(own, seed).view(np.int64)), pa.array(c), pa.array(p)], names=["h", "c", "p"])
 
-    seed = 0
-    while True:  # a seed under which all words differ
-        got = model.words.mapInArrow(lambda batches, s=seed: number(batches, s), "h long, c long, p double").toArrow()  # most_words rows at most
-        order = np.argsort(h := got["h"].to_numpy())
-        h = h[order]
-        if len(h) < 2 or (h[1:] != h[:-1]).all():
-            break
-        seed += 1
-    c, p = got["c"].to_numpy()[order], got["p"].to_numpy()[order]
-    c = c.astype(np.uint32) if model.n < 1 << 32 else c
-    held = docs.sparkSession.sparkContext.broadcast((h, c, p, model.classes, np.log10(model.follow)))
+    seed, pieces = 0, None
+    while pieces is None:  # a seed under which all words differ
+        numbered = model.words.mapInArrow(lambda batches, s=seed: number(batches, s), "h long, c long, p double")
+        pieces = broadcast_by_hash(numbered, np.uint32 if model.n < 1 << 32 else np.int64)
+        seed += pieces is None
+    held = docs.sparkSession.sparkContext.broadcast((model.classes, np.log10(model.follow)))
     base = math.log10(model.n + model.v + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, counts, logs, classes, follow = held.value
+        classes, follow = held.value
         follow = follow.ravel()
-        for b in batches:
+        for b in in_parts(batches, 2048):
             numbers: dict[bytes, int] = {}
             docs_, sizes = [], []
             for text in texts_of(b):
@@ -455,11 +490,7 @@ def _score_by_broadcast(docs: DataFrame, model: Model) -> DataFrame:
             if not sizes:
                 continue
             own = list(numbers)
-            asked = hashes_of(own, seed).view(np.int64)
-            at = np.minimum(np.searchsorted(hashes, asked), max(len(hashes) - 1, 0))
-            known = hashes[at] == asked if len(hashes) else np.zeros(len(own), bool)
-            c = np.where(known, counts[at] if len(hashes) else 0, 0).astype(np.float64)
-            p = np.where(known, logs[at] if len(hashes) else 0, 0).astype(np.float64)
+            known, c, p = looked_up(hashes_of(own, seed).view(np.int64), pieces)
             new = np.flatnonzero(~known)
             p[new] = of([own[i] for i in new.tolist()], np.zeros(len(new)), np.zeros(len(new)))
             plain = np.log10(c + 1) - base

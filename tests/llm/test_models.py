@@ -53,6 +53,20 @@ def test_scores_do_not_depend_on_partitions(spark, docs):
     assert np.allclose(np.array(found[0]), np.array(found[1]), rtol=1e-9) and np.allclose(np.array(found[0]), np.array(found[2]), rtol=1e-9)
 
 
+def test_word_probabilities_go_through_the_driver_in_pieces(spark, monkeypatch):
+    h = lm.mixed(np.arange(5000)).view(np.int64)
+    rows = spark.createDataFrame([(int(x), i, -float(i)) for i, x in enumerate(h)], "h long, c long, p double")
+    seen, whole = [], type(rows).toArrow
+    monkeypatch.setattr(type(rows), "toArrow", lambda self: seen.append(whole(self)) or seen[-1])
+    pieces = lm.broadcast_by_hash(rows, np.uint32)
+    assert sum(map(len, seen)) == 5000 and max(map(len, seen)) < 500
+    known, c, p = lm.looked_up(np.append(h[::-1], [1, -(1 << 63), (1 << 63) - 1]), pieces)
+    assert known.tolist() == [True] * 5000 + [False] * 3
+    assert c.tolist() == [*range(4999, -1, -1), 0, 0, 0] and p.tolist() == (-c).tolist()
+    assert lm.broadcast_by_hash(rows.unionByName(rows.limit(1)), np.uint32) is None
+    assert not lm.looked_up(h[:3], lm.broadcast_by_hash(rows.where("false"), np.int64))[0].any()
+
+
 def test_held_out_perplexity_beats_a_proper_base(spark):
     """The base gives unknown words, however many, one share; here it is spread
     evenly over spellings, so that both are distributions over texts."""

@@ -1,13 +1,19 @@
 """Language-model scoring with a hierarchical Pitman-Yor model.
 
-The ``COMMON`` most frequent words are classes of their own, all other words share
-one.  Each class has a restaurant for the class that follows it; its tables send
-customers to one restaurant without context, which all share as their parent,
-over an even distribution of the classes.  The end of a text, a word of no bytes,
-is also what stands before its first word.
-
-A token of the shared class is drawn from the restaurant of uncommon words.  A
-table of it, the n-th time that a word is newly drawn, sends one customer for each
+Every word has a restaurant for what follows it; the end of a text, a word of no
+bytes, is also what stands before its first word.  The ``COMMON`` most frequent
+words are classes of their own, all other words share one, and each class has a
+restaurant for the class that follows it.  Which class follows a common word is drawn
+from its class's restaurant, and a word that isn't common then from the word's own
+restaurant, whose tables send customers to the restaurant of uncommon words.  What
+follows any other word is drawn from its own restaurant over all words; a table sends
+a customer to the shared class's restaurant and, if its dish isn't common, one to the
+restaurant of uncommon words.  The tables of the classes' restaurants send customers
+to one restaurant without context, which all share as their parent, over an even
+distribution of the classes.  So all pairs of words are counted: ``COMMON`` only
+tells which of them are numbers in a broadcast table and which are rows.
+
+A table of the restaurant of uncommon words, the n-th time that a word is newly drawn, sends one customer for each
 of the word's bytes down the spelling restaurants: the one for the two bytes
 before, whose tables send customers to that for one byte before (shared by all
 contexts that end so), then to the one without context, over the uniform
@@ -21,14 +27,18 @@ customers - discount * tables of the dish.  A restaurant's number of tables is
 that of the sweep or pass before.  From ``SEATED`` customers of a dish on, the
 customers between two new tables are passed over by thinning, which draws from the
 same distribution.  Every draw is a hash of the dish, its restaurant, the sweep and
-the draw's number, so that partitions don't matter.  After ``BURN_IN`` sweeps the
-predictive probabilities of ``SAMPLES`` sweeps are averaged.
+the draw's number, so that partitions don't matter.  A pair of words that occurs
+once has one table and isn't drawn.  After ``BURN_IN`` sweeps those of ``SAMPLES``
+sweeps are averaged: each class's and word's probabilities and the pairs' tables.
 
 The class model has at most (COMMON + 1) ** 2 probabilities and the spelling model
 257 * 256 * 256 by construction; both are broadcast.  Word probabilities are
-broadcast (24 bytes each) up to ``MOST_WORDS`` words, in ``PIECES`` pieces, of
+broadcast (28 bytes each) up to ``MOST_WORDS`` words, in ``PIECES`` pieces, of
 which the driver holds one at a time; above, tokens are joined with
-the table instead, with the same result.  Counts are over all training texts.
+the table instead, with the same result.  Pairs are never broadcast: texts' pairs
+are joined with those counted, which are stored in buckets by pair so that only the
+texts' side is shuffled, a ``SLICES``-th of the texts at a time.  Counts are over all
+training texts.
 
 Defined results: a null text is empty: one end token; a null id is never held
 out; repeated rows stay and count as often as they occur; of words that occur
@@ -40,26 +50,30 @@ are ignored.
 from __future__ import annotations
 
 import math
+import uuid
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rastrum.llm.common import discard, in_parts, materialize, texts_of, with_row_key
+from rastrum.llm.common import discard, in_parts, materialize, new_path, texts_of, with_row_key
 
 BURN_IN, SAMPLES = 2, 2
 STRENGTH = 1.0
 #: Discounts of the spelling restaurants without, with one and with two bytes of context.
 SPELLING_DISCOUNTS = (0.2, 0.4, 0.6)
 SEATED = 64
-#: Words with a restaurant of their own for what follows them.
+#: Words that are classes of their own; the pairs of all others are rows.
 COMMON = 1024
+#: From so many training tokens on, texts are scored in so many jobs, one after the other.
+SLICED, SLICES = 16 << 20, 4
 MOST_WORDS = 8 << 20
 #: Word probabilities are broadcast in so many pieces, by the hash's upper four bits.
 PIECES = 16
@@ -165,19 +179,21 @@ def hashes_of(words: list[bytes], seed: int = 0) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), np.uint64, len(words))
 
 
-def _seat_words(words: DataFrame, logs: tuple, discount: float, tables: float, sweep: int) -> DataFrame:
-    """(word, c, t) after a sweep of the words' restaurant."""
-    held = words.sparkSession.sparkContext.broadcast(logs)  # 257 * 256 rows of 256 numbers at most
+def _seat_words(level: DataFrame, logs: tuple, discount: float, tables: float, sweep: int) -> DataFrame:
+    """The level with t and s, the log10 of the spelling, after a sweep of the restaurant of uncommon words; sweep 0 has a table for each."""
+    held = level.sparkSession.sparkContext.broadcast(logs)  # 257 * 256 rows of 256 numbers at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             own = b["word"].to_pylist()
             if own:
-                weight = (STRENGTH + discount * tables) * 10.0 ** spelled(own, held.value)
-                t = seats(b["c"].to_numpy(zero_copy_only=False), weight, discount, mixed(hashes_of(own), sweep))
-                yield pa.RecordBatch.from_arrays([b["word"], b["c"], pa.array(t.astype(np.int64))], names=["word", "c", "t"])
+                s, rare = spelled(own, held.value), ~b["common"].to_numpy(zero_copy_only=False)
+                n, t = b["n"].to_numpy(zero_copy_only=False), np.ones(len(own))
+                if sweep:
+                    t[rare] = seats(n[rare], (STRENGTH + discount * tables) * 10.0 ** s[rare], discount, mixed(hashes_of([w for w, r in zip(own, rare) if r]), sweep))
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.where(rare, t, 0).astype(np.int64)), pa.array(s)], names=[*b.schema.names, "t", "s"])
 
-    return words.select("word", "c").mapInArrow(run, "word binary, c long, t long")
+    return level.mapInArrow(run, "word binary, id long, c long, common boolean, n long, follows long, t long, s double")
 
 
 def _spelling_customers(seated: DataFrame) -> DataFrame:
@@ -263,88 +279,143 @@ class Spelling:
 class Classes:
     """Numbers of the common words; a token's class is the word's number or ``n``."""
 
-    def __init__(self, common: list[bytes]):
-        self.number, self.n = {w: i for i, w in enumerate(common)}, len(common)
+    def __init__(self, common: list[bytes], seed: int = 0):
+        self.number, self.n, self.seed = {w: i for i, w in enumerate(common)}, len(common), seed
 
     def of(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.number.get, words, repeat(self.n)), np.int64, len(words))
 
-    def cells(self, classes: np.ndarray) -> np.ndarray:
-        """The class before each token and its own, as one number; before a text stands its end."""
-        before = np.append(self.number.get(b"", self.n), classes[:-1])
-        return before * (self.n + 1) + classes
+    def names(self, words: list[bytes]) -> np.ndarray:
+        """A common word's number, and a hash of any other."""
+        kind = self.of(words)
+        return np.where(kind < self.n, kind, hashes_of(words, self.seed).view(np.int64))
 
+    def is_common(self, column: str):
+        return F.col(column).between(0, self.n - 1)
 
-def class_counts(docs: DataFrame, classes: Classes) -> DataFrame:
-    """(cell, n) over training documents (id, __text)."""
+
+def named_words(every: DataFrame, common: list[bytes]) -> tuple[DataFrame, Classes]:
+    """(word, id, c, common), and the classes with a seed under which all words' ids differ."""
+    seed = 0
+    while True:
+        classes = Classes(common, seed)
+
+        def run(batches: Iterator[pa.RecordBatch], classes: Classes = classes) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                own = b["word"].to_pylist()
+                yield pa.RecordBatch.from_arrays([b["word"], pa.array(classes.names(own), pa.int64()), b["c"], pa.array(classes.of(own) < classes.n)], names=["word", "id", "c", "common"])
+
+        words = materialize(every.mapInArrow(run, "word binary, id long, c long, common boolean"), "named")
+        alone = words.groupBy("id").agg(F.count("*").alias("k"), F.bool_and("common").alias("common"))
+        if alone.where((F.col("k") > 1) | (classes.is_common("id") & ~F.col("common"))).isEmpty():
+            return words, classes
+        discard(words)
+        seed += 1
+
+
+class Numbered:
+    """Texts' tokens as numbers of their different words, the end before the first."""
+
+    def __init__(self, texts: list[bytes]):
+        numbers: dict[bytes, int] = {b"": 0}
+        self.docs = [np.array([0, *[numbers.setdefault(w, len(numbers)) for w in tokens_of(text)]], np.int32) for text in texts]
+        self.words = list(numbers)
+
+    def pairs(self, flat: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first word, second word, times) of the different pairs."""
+        keys = [d[:-1].astype(np.int64) * len(self.words) + d[1:] for d in flat]
+        at, n = np.unique(np.concatenate(keys), return_counts=True)
+        return at // len(self.words), at % len(self.words), n
+
+
+def pair_counts(docs: DataFrame, classes: Classes) -> DataFrame:
+    """(u, w, n): how often word w follows u in training documents (id, __text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((classes.n + 1) ** 2, np.int64)
-        for b in in_parts(batches):
-            held = []
-            for doc_id, text in zip(b["id"].to_pylist(), texts_of(b), strict=True):
-                if not held_out(doc_id):
-                    held.append(classes.cells(classes.of(tokens_of(text))))
-            if held:
-                at, n = np.unique(np.concatenate(held), return_counts=True)
-                total[at] += n
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["cell", "n"])
+        for b in in_parts(batches, 2048):
+            texts = [text for doc_id, text in zip(b["id"].to_pylist(), texts_of(b), strict=True) if not held_out(doc_id)]
+            if texts:
+                found = Numbered(texts)
+                names = classes.names(found.words)
+                u, w, n = found.pairs(found.docs)
+                yield pa.RecordBatch.from_arrays([pa.array(names[u]), pa.array(names[w]), pa.array(n.astype(np.int64))], names=["u", "w", "n"])
+
+    return docs.mapInArrow(run, "u long, w long, n long").repartition(_buckets(docs), "u", "w").groupBy("u", "w").agg(F.sum("n").alias("n"))
+
 
-    return docs.mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+def _buckets(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _in_buckets(df: DataFrame, name: str) -> DataFrame:
+    """A table written sorted in buckets by pair and read back: joins by pair don't shuffle it."""
+    spark, path, table = df.sparkSession, new_path(df.sparkSession, name), f"rastrum_{name}_{uuid.uuid4().hex}"
+    df.write.bucketBy(_buckets(df), "u", "w").sortBy("u", "w").option("path", path).option("compression", "zstd").saveAsTable(table)
+    out = spark.table(table)
+    out._written_at, out._called = path, table
+    return out
+
+
+def _drop(table: DataFrame) -> None:
+    table.sparkSession.sql(f"DROP TABLE {table._called}")
+    discard(table)
 
 
 def discount_of(once: int, twice: int) -> float:
     return min(0.95, max(0.05, once / (once + 2 * twice))) if once else 0.5
 
 
-def class_model(docs: DataFrame, classes: Classes, burn_in: int, samples: int) -> np.ndarray:
-    """P(class | class before), a row for each class before."""
-    size = classes.n + 1
-    counts = materialize(class_counts(docs, classes), "classes")
-    discount = discount_of(*counts.agg(F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first())
-    parent, kept, sums = np.full(size, 1 / size), [], []
+class ClassModel:
+    """The classes' restaurants between sweeps; counts: (cell, n) of the common words' restaurants."""
+
+    def __init__(self, counts: DataFrame, size: int):
+        self.counts, self.size, self.parent = counts, size, np.full(size, 1 / size)
+        self.discount = discount_of(*(x or 0 for x in counts.agg(F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()))
+
+    def sweep(self, shared: np.ndarray, k: int) -> np.ndarray:
+        """P(class | class before), a row for each class before; shared: customers of the shared class's restaurant."""
+        size, discount, spark = self.size, self.discount, self.counts.sparkSession
+        held = spark.sparkContext.broadcast(self.parent)  # COMMON + 1 numbers
 
-    def seat(held, sweep: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in _together(batches):
                 cell, n = b["cell"].to_numpy().astype(np.int64), b["n"].to_numpy()
-                t = seat_restaurants(cell // size, n, held.value[cell % size], discount, mixed(cell, 3, sweep))
+                t = seat_restaurants(cell // size, n, held.value[cell % size], discount, mixed(cell, 3, k))
                 yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(n), pa.array(t.astype(np.int64))], names=["cell", "n", "t"])
 
-        return run
+        own = spark.createDataFrame([((size - 1) * size + int(i), int(shared[i])) for i in np.flatnonzero(shared)], "cell int, n long")  # COMMON + 1 rows
+        rows = self.counts.unionByName(own).repartition(F.floor(F.col("cell") / size)).mapInArrow(run, "cell int, n long, t long")
+        seated = rows.toArrow()  # (COMMON + 1) ** 2 rows at most
+        cell, n, t = (seated[c].to_numpy().astype(np.int64) for c in ("cell", "n", "t"))
+        total, tables = (np.bincount(cell // size, weights=x, minlength=size) for x in (n, t))
+        out = np.outer((STRENGTH + discount * tables) / (STRENGTH + total), self.parent)
+        out.ravel()[cell] += (n - discount * t) / (STRENGTH + total[cell // size])
+        below = np.bincount(cell % size, weights=t, minlength=size)
+        at = np.flatnonzero(below)
+        under, m = discount_of(int((below == 1).sum()), int((below == 2).sum())), below[at].astype(np.int64)
+        top = seat_restaurants(np.zeros(len(at), np.int64), m, np.full(len(at), 1 / size), under, mixed(at, 4, k)) if len(at) else np.zeros(0)
+        self.parent = np.full(size, (STRENGTH + under * top.sum()) / (STRENGTH + m.sum()) / size)
+        self.parent[at] += (m - under * top) / (STRENGTH + m.sum())
+        return out
+
+
+def _seat_pairs(multi: DataFrame, level: DataFrame, classes: Classes, row: np.ndarray, discount: float, sweep: int) -> DataFrame:
+    """(u, w, n, t) of pairs that occur more than once; level: (id, p, follows); row: the shared class's probabilities."""
+    size, row = classes.n, row.tolist()
 
-    for k in range(burn_in + samples + 1):
-        held = docs.sparkSession.sparkContext.broadcast(parent)  # COMMON + 1 numbers
-        seated = materialize(counts.repartition(F.floor(F.col("cell") / size)).mapInArrow(seat(held, k), "cell int, n long, t long"), "class-tables")
-        below = seated.groupBy((F.col("cell") % size).cast("int").alias("v")).agg(F.sum("t").alias("n")).toArrow()  # COMMON + 1 rows
-        at, n = below["v"].to_numpy(), below["n"].to_numpy()
-        order = np.argsort(at)
-        at, n = at[order], n[order]
-        if k > burn_in:  # what the sample used: its tables and the parent that they were drawn from
-            rooms = seated.groupBy(F.floor(F.col("cell") / size).cast("int").alias("u")).agg(F.sum("n").alias("n"), F.sum("t").alias("t")).toArrow()  # COMMON + 1 rows
-            kept.append(seated.select("cell", "n", "t"))
-            sums.append((rooms["u"].to_numpy(), rooms["n"].to_numpy(), rooms["t"].to_numpy(), parent))
-        under = discount_of(int((n == 1).sum()), int((n == 2).sum()))
-        t = seat_restaurants(np.zeros(len(at), np.int64), n, np.full(len(at), 1 / size), under, mixed(at, 4, k)) if len(at) else np.zeros(0)
-        parent = np.full(size, (STRENGTH + under * t.sum()) / (STRENGTH + n.sum()) / size)
-        parent[at] += (n - under * t) / (STRENGTH + n.sum())
-        if k <= burn_in:
-            discard(seated)
-    out = np.zeros((size, size))
-    total, back = np.zeros(size), np.ones((len(sums), size))
-    for s, (u, n, t, _) in enumerate(sums):
-        total[u] = n
-        back[s, u] = (STRENGTH + discount * t) / (STRENGTH + n)
-    every = kept[0]
-    for x in kept[1:]:
-        every = every.unionByName(x)
-    mean = every.groupBy("cell").agg(F.first("n").alias("n"), F.avg("t").alias("t")).toArrow()  # (COMMON + 1) ** 2 rows at most
-    cell = mean["cell"].to_numpy()
-    out.ravel()[cell] = (mean["n"].to_numpy() - discount * mean["t"].to_numpy()) / (STRENGTH + total[cell // size])
-    for b, (*_, parent_) in zip(back, sums, strict=True):
-        out += np.outer(b, parent_) / len(sums)
-    return out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = np.array(row)
+        for b in batches:
+            u, w, n, p, follows = (b[c].to_numpy(zero_copy_only=False) for c in ("u", "w", "n", "p", "follows"))
+            if len(u):
+                rare = (w < 0) | (w >= size)
+                parent = np.where(rare, 10.0**p, 1.0) * np.where((u < 0) | (u >= size), of[np.where(rare, size, w)], 1.0)
+                keys = mixed(u.view(np.uint64) ^ mixed(w.view(np.uint64), 6), 5, sweep)
+                t = seats(n, (STRENGTH + discount * follows) * parent, discount, keys)
+                yield pa.RecordBatch.from_arrays([b["u"], b["w"], b["n"], pa.array(t.astype(np.int64))], names=["u", "w", "n", "t"])
+
+    rows = multi.join(level.select(F.col("id").alias("w"), "p"), "w").join(level.select(F.col("id").alias("u"), "follows"), "u")
+    return rows.select("u", "w", "n", "p", "follows").mapInArrow(run, "u long, w long, n long, t long")
 
 
 def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -355,21 +426,23 @@ def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 class Model:
     """Totals, the classes and their probabilities, the averaged sweeps' spelling
-    probabilities and (word, c, tables, common), the tables' mean; n and v are over
-    all words, uncommon over tokens of those that aren't common."""
+    probabilities with the weight of a new word, (word, id, c, tables, common, own,
+    follows) and (u, w, n) with the mean tables (u, w, t) of pairs that occur more than
+    once.  own: the word's probability less that of being new; follows: the tables of
+    what follows it; both and tables are means.  alone: N of the common words' own restaurants."""
 
-    def __init__(self, words: DataFrame, n: int, v: int, uncommon: int, discount: float, sweeps: list[tuple[tuple, float]], classes: Classes, follow: np.ndarray):
-        self.words, self.n, self.v, self.uncommon, self.discount, self.sweeps, self.classes, self.follow = words, n, v, uncommon, discount, sweeps, classes, follow
+    def __init__(self, words: DataFrame, n: int, v: int, sweeps: list[tuple[tuple, float]], classes: Classes, follow: np.ndarray, pairs: DataFrame, multi: DataFrame, discount: float, alone: np.ndarray):
+        self.words, self.n, self.v, self.sweeps, self.classes, self.follow = words, n, v, sweeps, classes, follow
+        self.pairs, self.multi, self.discount, self.alone = pairs, multi, discount, alone
 
     def log_probability(self):
-        """A function of words, their counts and their mean tables, for tasks; what it needs is broadcast."""
+        """A function of uncommon words and their own probabilities, for tasks; what it needs is broadcast."""
         held = self.words.sparkSession.sparkContext.broadcast([logs for logs, _ in self.sweeps])  # SAMPLES times what a sweep broadcasts
-        n, discount, backs = self.uncommon, self.discount, [(STRENGTH + self.discount * t) / (STRENGTH + self.uncommon) for _, t in self.sweeps]
+        backs = [back for _, back in self.sweeps]
 
-        def of(words: list[bytes], c: np.ndarray, t: np.ndarray) -> np.ndarray:
+        def of(words: list[bytes], own: np.ndarray) -> np.ndarray:
             # sums of logs, as a long word's spelling may be too small for a double
             parts = np.array([spelled(words, logs) + math.log10(back) for logs, back in zip(held.value, backs, strict=True)])
-            own = (c - discount * t) / (STRENGTH + n)
             most = parts.max(axis=0)
             new = most + np.log10(np.mean(10.0 ** (parts - most), axis=0))
             with np.errstate(divide="ignore"):
@@ -379,46 +452,114 @@ class Model:
 
         return of
 
+    def back_off(self):
+        """A function of classes u and w, the log10 probability of w as an uncommon word, and c and follows of u, for tasks:
+        log10 P(w | u) without the pair's own customers, and the same times STRENGTH + N of u's restaurant (0 if it isn't asked)."""
+        n, discount = self.classes.n, self.discount
+        held = self.words.sparkSession.sparkContext.broadcast((np.log10(self.follow), self.alone))  # (COMMON + 1) ** 2 numbers
+
+        def of(u: np.ndarray, w: np.ndarray, p: np.ndarray, c: np.ndarray, follows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            follow, alone = held.value
+            asked = (u == n) | (w == n)
+            total = np.log10(STRENGTH + np.where(u == n, c, alone[u]))
+            new = np.log10(STRENGTH + discount * follows)
+            q = np.where(w == n, p, 0.0)
+            shown = follow[u, w]
+            # a common word's class is drawn first, from a restaurant that the pair's customers aren't in
+            return shown + q + np.where(asked, new - total, 0.0), np.where(asked, new + q + np.where(u == n, shown, 0.0), 0.0)
+
+        return of
+
 
 def fit(docs: DataFrame, burn_in: int = BURN_IN, samples: int = SAMPLES, most_common: int = COMMON) -> Model:
     """Learn from documents (id, __text)."""
-    spark = docs.sparkSession
     every = materialize(word_counts(docs), "words")
     n, v = (x or 0 for x in every.agg(F.sum("c"), F.count("*")).first())
-    common = every.orderBy(F.desc("c"), "word").limit(most_common).collect()  # most_common rows
-    classes = Classes([bytes(r["word"]) for r in common])
-    follow = class_model(docs, classes, burn_in, samples)
-    top = spark.createDataFrame([(r["word"], r["c"], 0.0, True) for r in common], "word binary, c long, tables double, common boolean")
-    words = every.join(F.broadcast(top.select("word")), "word", "left_anti")  # most_common rows
-    facts = words.agg(F.sum("c"), F.count("*"), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
-    uncommon, kinds, once, twice = (x or 0 for x in facts)
-    discount = discount_of(once, twice)
-    spelling, tables, kept = Spelling(), float(kinds), []
-    if not kinds:
-        return Model(top, n, v, 0, discount, [(spelling.logs, 0.0)], classes, follow)
-    samples_ = []
-    spelling.sweep(_spelling_customers(words.withColumn("t", F.lit(1).cast("long"))), 0)
-    for k in range(1, burn_in + samples + 1):
-        seated = materialize(_seat_words(words, spelling.logs, discount, tables, k), "seated")
-        tables = float(seated.agg(F.sum("t")).first()[0])
-        spelling.sweep(_spelling_customers(seated), k)
+    common = [bytes(r["word"]) for r in every.orderBy(F.desc("c"), "word").limit(most_common).collect()]  # most_common rows
+    words, classes = named_words(every, common)
+    size, spelling = classes.n + 1, Spelling()
+    pairs = _in_buckets(pair_counts(docs, classes), "pairs")
+    first = classes.is_common("u")
+    kind = F.when(classes.is_common("w"), F.col("w")).otherwise(classes.n)
+    counts = materialize(pairs.where(first).groupBy((F.col("u") * size + kind).cast("int").alias("cell")).agg(F.sum("n").alias("n")), "classes")
+    alone = np.zeros(size)  # how often an uncommon word follows a common one
+    for r in counts.where(F.col("cell") % size == classes.n).collect():  # COMMON rows
+        alone[r["cell"] // size] = r["n"]
+    rest = pairs.where(~(first & classes.is_common("w")))
+    discount = discount_of(*(x or 0 for x in rest.agg(F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()))
+    once = rest.where("n = 1")
+    ones = words.join(once.groupBy(F.col("w").alias("id")).agg(F.count("*").alias("as_w")), "id", "left")
+    ones = materialize(ones.join(once.groupBy(F.col("u").alias("id")).agg(F.count("*").alias("as_u")), "id", "left").fillna(0), "ones")
+    multi = materialize(rest.where("n > 1"), "multi")
+    seated, told, tables, row, back, below = multi.withColumn("t", F.lit(1).cast("long")), None, 0.0, None, 0.0, 0.5
+    class_model, follow, kept, levels, written, sweeps = ClassModel(counts, size), np.zeros((size, size)), [], [], [], []
+    for k in range(burn_in + samples + 1):
+        if k:
+            p = F.log10(F.greatest((F.col("n") - below * F.col("t")) / (STRENGTH + customers), F.lit(0.0)) + back * F.pow(F.lit(10.0), "s"))
+            before, seated = seated, materialize(_seat_pairs(multi, told.withColumn("p", p), classes, row, discount, k), "seated")
+            if 1 < k <= burn_in + 1:
+                discard(before)
+        as_w, as_u = (seated.groupBy(F.col(c).alias("id")).agg(F.sum("t").alias("t" + c)) for c in "wu")
+        level = ones.join(as_w, "id", "left").join(as_u, "id", "left").fillna(0)
+        level = level.select("word", "id", "c", "common", (F.col("as_w") + F.col("tw")).alias("n"), (F.col("as_u") + F.col("tu")).alias("follows"))
+        if not k:
+            rare = level.where(~F.col("common"))
+            below = discount_of(*(x or 0 for x in rare.agg(F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()))
+        before, told = told, materialize(_seat_words(level, spelling.logs, below, tables, k), "level")
+        if before is not None and k <= burn_in + 1:
+            discard(before)
+        rare = told.where(~F.col("common"))
+        tables, customers, left = (float(x or 0) for x in rare.agg(F.sum("t"), F.sum("n"), F.sum("follows")).first())
+        back = (STRENGTH + below * tables) / (STRENGTH + customers)
+        spelling.sweep(_spelling_customers(rare), k)
+        shared = np.zeros(size)
+        for r in told.where("common").select("id", "n").collect():  # COMMON rows
+            shared[r["id"]] = r["n"]
+        shared[classes.n] = left - shared.sum()  # tables of uncommon words' restaurants whose dish isn't common
+        found = class_model.sweep(shared, k)
+        row = found[classes.n]
         if k > burn_in:
-            kept.append((spelling.logs, tables))
-            samples_.append(seated)
-        else:
-            discard(seated)
-    mean = samples_[0]
-    for x in samples_[1:]:
-        mean = mean.unionByName(x)
-    averaged = mean.groupBy("word").agg(F.first("c").alias("c"), F.avg("t").alias("tables")).withColumn("common", F.lit(False))
-    averaged = materialize(averaged.unionByName(top), "averaged")
-    discard(every, *samples_)
-    return Model(averaged, n, v, uncommon, discount, kept, classes, follow)
+            follow += found / samples
+            sweeps.append((spelling.logs, back))
+            kept.append(seated)
+            written.append(told)
+            levels.append(told.withColumn("own", F.when(F.col("common"), 0.0).otherwise((F.col("n") - below * F.col("t")) / (STRENGTH + customers))))
+    mean, t = levels[0], kept[0]
+    for x, y in zip(levels[1:], kept[1:], strict=True):
+        mean, t = mean.unionByName(x), t.unionByName(y)
+    mean = mean.groupBy("word", "id", "c", "common").agg(F.avg("t").alias("tables"), F.avg("own").alias("own"), F.avg("follows").alias("follows"))
+    averaged = materialize(mean, "averaged")
+    t = _in_buckets(t.repartition(_buckets(docs), "u", "w").groupBy("u", "w").agg(F.avg("t").alias("t")), "tables")
+    discard(every, words, counts, ones, multi, *kept, *written)
+    return Model(averaged, n, v, sweeps, classes, follow, pairs, t, discount, alone)
 
 
 def score(docs: DataFrame, model: Model, most_words: int = MOST_WORDS) -> DataFrame:
-    """(id, n_tokens, n_known, base_score, score) of documents (id, __id, __tag, __text)."""
-    return (_score_by_broadcast if model.v <= most_words else _score_by_join)(docs, model)
+    """(id, n_tokens, n_known, base_score, score, train_tokens) of documents (id, __id, __tag, __text); the model's pairs are deleted."""
+    of = (_score_by_broadcast if model.v <= most_words else _score_by_join)(model)
+    parts = SLICES if model.n >= SLICED else 1
+    found = [materialize(of(docs.where(F.pmod("__tag", F.lit(parts)) == i)), "scores") for i in range(parts)]
+    for table in (model.pairs, model.multi):
+        _drop(table)
+    out = found[0]
+    for x in found[1:]:
+        out = out.unionByName(x)
+    return out.withColumn("train_tokens", F.lit(model.n).cast("long"))
+
+
+def _add_pairs(rows: DataFrame, model: Model) -> DataFrame:
+    """(__id, __tag, id, copies, sums of the scores) of rows (__id, __tag, u, w, z, times, head): to what
+    the heads hold, what a pair's own customers add; z: log10 of what they are added to."""
+    rows = rows.join(model.pairs, ["u", "w"], "left").join(model.multi, ["u", "w"], "left")
+    own = F.col("n") - model.discount * F.coalesce("t", F.lit(1.0))
+    gain = F.when(F.col("z") > -300, F.log1p(own * F.pow(F.lit(10.0), -F.col("z"))) / math.log(10)).otherwise(F.log10(own) - F.col("z"))
+    sums = rows.groupBy("__id", "__tag").agg(F.max("head.id").alias("id"), F.count("head").alias("copies"), *(F.sum(f"head.{c}").alias(c) for c in _SCORED[1:]), F.sum(F.col("times") * gain).alias("gain"))
+    return sums.withColumn("score", F.col("score") + F.coalesce("gain", F.lit(0.0))).drop("gain")
+
+
+def _heads(*columns) -> pa.StructArray:
+    """Struct column of id and sums, a row each."""
+    return pa.StructArray.from_arrays(list(columns), fields=[pa.field(c, t) for c, t in zip(_SCORED, _TYPES, strict=True)])
 
 
 def _piece_of(h: np.ndarray) -> np.ndarray:
@@ -426,11 +567,11 @@ def _piece_of(h: np.ndarray) -> np.ndarray:
 
 
 def broadcast_by_hash(numbered: DataFrame, counts: type) -> list | None:
-    """Broadcasts of the sorted rows (h, c, p), one for each sixteenth of the hashes, or nothing if two hashes are equal.
+    """Broadcasts of the sorted rows (h, c, p and more numbers), one for each sixteenth of the hashes, or nothing if two hashes are equal.
 
     The driver holds one piece at a time, not the table."""
     rows = materialize(numbered, "numbers")
-    pieces = []
+    pieces, more = [], numbered.columns[2:]
     for k in range(PIECES):
         lo = (k - PIECES // 2) << 60
         got = rows.where(F.col("h").between(lo, lo + (1 << 60) - 1)).toArrow()  # a sixteenth of most_words rows
@@ -439,114 +580,146 @@ def broadcast_by_hash(numbered: DataFrame, counts: type) -> list | None:
         if (h[1:] == h[:-1]).any():
             pieces = None
             break
-        pieces.append(numbered.sparkSession.sparkContext.broadcast((h, got["c"].to_numpy()[order].astype(counts), got["p"].to_numpy()[order])))
+        pieces.append(numbered.sparkSession.sparkContext.broadcast((h, got["c"].to_numpy()[order].astype(counts), *(got[c].to_numpy()[order] for c in more))))
     discard(rows)
     return pieces
 
 
-def looked_up(asked: np.ndarray, pieces: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Which hashes are known, and their counts and probabilities, 0 where they aren't."""
-    known, c, p = np.zeros(len(asked), bool), np.zeros(len(asked)), np.zeros(len(asked))
+def looked_up(asked: np.ndarray, pieces: list) -> tuple[np.ndarray, ...]:
+    """Which hashes are known, and their counts and other numbers, 0 where they aren't."""
+    known, found = np.zeros(len(asked), bool), [np.zeros(len(asked)) for _ in pieces[0].value[1:]]
     part = _piece_of(asked)
     for k in np.unique(part).tolist():
-        h, counts, logs = pieces[k].value
+        h, *numbers = pieces[k].value
         if len(h):
             i = np.flatnonzero(part == k)
             at = np.minimum(np.searchsorted(h, asked[i]), len(h) - 1)
             i, at = i[hit := h[at] == asked[i]], at[hit]
-            known[i], c[i], p[i] = True, counts[at], logs[at]
-    return known, c, p
+            known[i] = True
+            for x, y in zip(found, numbers, strict=True):
+                x[i] = y[at]
+    return known, *found
 
 
-def _score_by_broadcast(docs: DataFrame, model: Model) -> DataFrame:
-    of = model.log_probability()
+def _score_by_broadcast(model: Model) -> Callable[[DataFrame], DataFrame]:
+    of, back_off = model.log_probability(), model.back_off()
 
-    def number(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[pa.RecordBatch]:
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            own = b["word"].to_pylist()
-            if own:
-                c = b["c"].to_numpy(zero_copy_only=False)
-                p = np.where(b["common"].to_numpy(zero_copy_only=False), 0.0, of(own, c, b["tables"].to_numpy(zero_copy_only=False)))
-                yield pa.RecordBatch.from_arrays([pa.array(hashes_of(own, seed).view(np.int64)), pa.array(c), pa.array(p)], names=["h", "c", "p"])
-
-    seed, pieces = 0, None
-    while pieces is None:  # a seed under which all words differ
-        numbered = model.words.mapInArrow(lambda batches, s=seed: number(batches, s), "h long, c long, p double")
-        pieces = broadcast_by_hash(numbered, np.uint32 if model.n < 1 << 32 else np.int64)
-        seed += pieces is None
-    held = docs.sparkSession.sparkContext.broadcast((model.classes, np.log10(model.follow)))
+            if len(b):
+                p = of(b["word"].to_pylist(), b["own"].to_numpy(zero_copy_only=False))
+                p[b["common"].to_numpy(zero_copy_only=False)] = 0.0
+                yield pa.RecordBatch.from_arrays([b["id"], b["c"], pa.array(p), b["follows"]], names=["h", "c", "p", "follows"])
+
+    numbered = model.words.mapInArrow(number, "h long, c long, p double, follows double")
+    pieces = broadcast_by_hash(numbered, np.uint32 if model.n < 1 << 32 else np.int64)  # all words' ids differ
+    held = model.words.sparkSession.sparkContext.broadcast(model.classes)
     base = math.log10(model.n + model.v + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, follow = held.value
-        follow = follow.ravel()
-        for b in in_parts(batches, 2048):
-            numbers: dict[bytes, int] = {}
-            docs_, sizes = [], []
-            for text in texts_of(b):
-                own = [numbers.setdefault(w, len(numbers)) for w in tokens_of(text)]
-                sizes.append(len(own))
-                docs_.append(np.array(own, np.int32))
-            if not sizes:
-                continue
-            own = list(numbers)
-            known, c, p = looked_up(hashes_of(own, seed).view(np.int64), pieces)
+        classes = held.value
+        for b in in_parts(batches, 1024):
+            found = Numbered(texts_of(b))
+            own, names, kind = found.words, classes.names(found.words), classes.of(found.words)
+            known, c, p, follows = looked_up(names, pieces)
             new = np.flatnonzero(~known)
-            p[new] = of([own[i] for i in new.tolist()], np.zeros(len(new)), np.zeros(len(new)))
+            p[new] = of([own[i] for i in new.tolist()], np.zeros(len(new)))
             plain = np.log10(c + 1) - base
-            flat, starts = np.concatenate(docs_), np.cumsum([0, *sizes[:-1]])
-            sums = [np.add.reduceat(x[flat], starts) for x in (known.astype(np.int64), plain, p)]
-            kind = classes.of(own)
-            sums[2] += [follow[classes.cells(kind[d])].sum() for d in docs_]
-            yield pa.RecordBatch.from_arrays([b["id"], pa.array(sizes, pa.int64()), *map(pa.array, sums)], names=_SCORED)
+            sizes = np.array([len(d) - 1 for d in found.docs])
+            starts = np.cumsum(sizes) - sizes
+            u, w = (np.concatenate([d[x] for d in found.docs]) for x in (slice(0, -1), slice(1, None)))
+            q, z = back_off(kind[u], kind[w], p[w], c[u], follows[u])
+            ids, tags = (b[x].to_numpy(zero_copy_only=False) for x in ("__id", "__tag"))
+            sums = [np.add.reduceat(x, starts) for x in (known[w].astype(np.int64), plain[w], q)]
+            heads = _heads(b["id"], pa.array(sizes, pa.int64()), *map(pa.array, sums))
+            # heads go where their hashes say, and nothing is added to them
+            yield _rows(ids, tags, tags, ids, np.zeros(len(ids)), np.zeros(len(ids), np.int64), heads)
+            at = np.flatnonzero(known[u] & known[w] & ((kind[u] == classes.n) | (kind[w] == classes.n)))
+            doc = np.repeat(np.arange(len(sizes)), sizes)[at]
+            _, first, times = np.unique((doc * len(own) + u[at]) * len(own) + w[at], return_index=True, return_counts=True)
+            at, doc = at[first], doc[first]
+            for i in range(0, len(at), 100_000):
+                x, d = at[i : i + 100_000], doc[i : i + 100_000]
+                yield _rows(ids[d], tags[d], names[u[x]], names[w[x]], z[x], times[i : i + 100_000], _heads(*(pa.array([], t) for t in _TYPES)).take(pa.nulls(len(x), pa.int64())))
+
+    def scored(docs: DataFrame) -> DataFrame:
+        each = _add_pairs(docs.select("id", "__id", "__tag", "__text").mapInArrow(run, _ROWS), model)
+        # repeated rows were summed up together
+        shares = [(F.col(c) / F.col("copies")).cast("long" if c.startswith("n_") else "double").alias(c) for c in _SCORED[1:]]
+        return each.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select("id", *shares)
+
+    return scored
 
-    return docs.select("id", "__text").mapInArrow(run, "id long, n_tokens long, n_known long, base_score double, score double")
+
+_ROWS = "__id long, __tag long, u long, w long, z double, times long, head struct<id: long, n_tokens: long, n_known: long, base_score: double, score: double>"
+
+
+def _rows(*columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], names=["__id", "__tag", "u", "w", "z", "times", "head"])
 
 
 _SCORED = ["id", "n_tokens", "n_known", "base_score", "score"]
+_TYPES = [pa.int64()] * 3 + [pa.float64()] * 2
 
 
-def _score_by_join(docs: DataFrame, model: Model) -> DataFrame:
-    of = model.log_probability()
+def _score_by_join(model: Model) -> Callable[[DataFrame], DataFrame]:
+    of, back_off = model.log_probability(), model.back_off()
+    held = model.words.sparkSession.sparkContext.broadcast(model.classes)
     base = math.log10(model.n + model.v + 1)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for key, tag, text in zip(b["__id"].to_pylist(), b["__tag"].to_pylist(), texts_of(b), strict=True):
-                own = Counter(tokens_of(text))
-                yield pa.RecordBatch.from_arrays([pa.array([key] * len(own)), pa.array([tag] * len(own)), pa.array(list(own), pa.binary()), pa.array(list(own.values()), pa.int64())], names=["__id", "__tag", "word", "times"])
+                own = tokens_of(text)
+                pairs = Counter(zip([b"", *own], own))
+                u, w = zip(*pairs, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(pairs)), pa.array([tag] * len(pairs)), pa.array(u, pa.binary()), pa.array(w, pa.binary()), pa.array(list(pairs.values()), pa.int64())], names=["__id", "__tag", "u", "w", "times"])
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes = held.value
         for b in batches:
-            c = b["c"].to_numpy(zero_copy_only=False).astype(float)
-            p = np.where(b["common"].to_numpy(zero_copy_only=False), 0.0, of(b["word"].to_pylist(), c, b["tables"].to_numpy(zero_copy_only=False)))
-            times = b["times"].to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([b["__id"], b["__tag"], b["times"], pa.array(times * (c > 0)), pa.array(times * (np.log10(c + 1) - base)), pa.array(times * p)], names=["__id", "__tag", *_SCORED[1:]])
-
-    one = docs.dropDuplicates(["__id", "__tag"]).select("__id", "__tag", "__text")
-    rows = one.mapInArrow(spread, "__id long, __tag long, word binary, times long").join(model.words, "word", "left").fillna(0, ["c", "tables"]).fillna(False, ["common"])
-    sums = rows.select("__id", "__tag", "word", "times", "c", "tables", "common").mapInArrow(weigh, "__id long, __tag long, n_tokens long, n_known long, base_score double, score double")
-    held = docs.sparkSession.sparkContext.broadcast((model.classes, np.log10(model.follow)))
-
-    def follow_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, follow = held.value
-        for b in batches:
-            p = [follow.ravel()[classes.cells(classes.of(tokens_of(text)))].sum() for text in texts_of(b)]
-            yield pa.RecordBatch.from_arrays([b["id"], b["__id"], b["__tag"], pa.array(p, pa.float64())], names=["id", "__id", "__tag", "follow"])
-
-    each = sums.groupBy("__id", "__tag").agg(*(F.sum(c).alias(c) for c in _SCORED[1:]))
-    own = docs.mapInArrow(follow_on, "id long, __id long, __tag long, follow double").join(each, ["__id", "__tag"])
-    return own.withColumn("score", F.col("score") + F.col("follow")).select(*_SCORED)
+            if len(b):
+                u, w = b["u"].to_pylist(), b["w"].to_pylist()
+                times, c, own, cu, follows = (b[x].to_numpy(zero_copy_only=False).astype(float) for x in ("times", "c", "own", "cu", "follows"))
+                ku, kw = classes.of(u), classes.of(w)
+                p = of(w, own)
+                p[kw < classes.n] = 0.0
+                q, z = back_off(ku, kw, p, cu, follows)
+                n = times.astype(np.int64)
+                heads = _heads(pa.nulls(len(b), pa.int64()), pa.array(n), pa.array(n * (c > 0)), pa.array(times * (np.log10(c + 1) - base)), pa.array(times * q))
+                yield _rows(b["__id"], b["__tag"], classes.names(u), classes.names(w), z, n * ((ku == classes.n) | (kw == classes.n)), heads)
+
+    def scored(docs: DataFrame) -> DataFrame:
+        one = docs.dropDuplicates(["__id", "__tag"]).select("__id", "__tag", "__text")
+        rows = one.mapInArrow(spread, "__id long, __tag long, u binary, w binary, times long")
+        rows = rows.join(model.words.select(F.col("word").alias("w"), "c", "own"), "w", "left")
+        rows = rows.join(model.words.select(F.col("word").alias("u"), F.col("c").alias("cu"), "follows"), "u", "left").fillna(0)
+        each = _add_pairs(rows.select("__id", "__tag", "u", "w", "times", "c", "own", "cu", "follows").mapInArrow(weigh, _ROWS), model)
+        return docs.select("id", "__id", "__tag").join(each.drop("id"), ["__id", "__tag"]).select(*_SCORED)
+
+    return scored
+
+
+@contextmanager
+def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files go when the job that wrote them ends, as all tables here are written before others read them."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_words: int = MOST_WORDS) -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score and perplexity of every document."""
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"))
     own = with_row_key(own, "id", "__text")
-    model = fit(own)
-    found = score(own, model, most_words)
+    with _shuffles_removed(docs.sparkSession):
+        found = score(own, fit(own), most_words)
     aside = F.coalesce(F.crc32(F.col("id").cast("string").cast("binary")) % FOLDS == HELD_OUT, F.lit(False))
     return found.select(
-        F.col("id").alias(id_col), aside.alias("held_out"), "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score",
+        F.col("id").alias(id_col), aside.alias("held_out"), "n_tokens", "n_known", F.col("train_tokens"), "base_score", "score",
         F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"),
     )

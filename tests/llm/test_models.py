@@ -125,6 +125,39 @@ def test_word_order_matters(spark):
     assert got[100] > got[101] + 5
 
 
+@pytest.mark.parametrize("most", [lm.MOST_WORDS, 0])
+def test_order_of_words_that_are_not_common_matters(spark, most):
+    """Over twice as many words as have classes, each pair as frequent as any other."""
+    pairs = [f"a{i} b{i}" for i in range(lm.COMMON + 500)]
+    in_order, mixed_up = [i for i in range(100, 200) if lm.held_out(i)][:2]
+    rows = [(i, " ".join(pairs)) for i in range(10)] + [(in_order, "a5 b5 a1200 b1200"), (mixed_up, "a5 b1200 a1200 b5")]
+    got = {r["doc_id"]: r["score"] for r in lm.judge(spark.createDataFrame(rows, "doc_id long, text string"), most_words=most).collect()}
+    assert got[in_order] > got[mixed_up] + 5
+
+
+def test_every_context_has_a_restaurant_of_its_own(spark, docs):
+    own = with_row_key(docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("__text")), "id", "__text")
+    model = lm.fit(own, most_common=20)
+    words = {r["id"]: r for r in model.words.collect()}
+    name = {bytes(r["word"]): i for i, r in words.items()}
+    want = Counter()
+    for d, t in DOCS:
+        if not lm.held_out(d):
+            tokens = lm.tokens_of((t or "").encode())
+            want.update((name[u], name[w]) for u, w in zip([b"", *tokens], tokens))
+    assert want == {(r["u"], r["w"]): r["n"] for r in model.pairs.collect()}
+    rest = {k: n for k, n in want.items() if not (words[k[0]]["common"] and words[k[1]]["common"])}
+    tables = {(r["u"], r["w"]): r["t"] for r in model.multi.collect()}
+    assert tables.keys() == {k for k, n in rest.items() if n > 1} and all(1 <= t <= want[k] for k, t in tables.items())
+    # what pairs' customers have and what goes to the parent is all there is
+    customers, follows = Counter(), Counter()
+    for (u, w), n in rest.items():
+        customers[u] += n
+        follows[u] += tables.get((u, w), 1)
+    for i, r in words.items():
+        assert customers[i] == (model.alone[i] if r["common"] else r["c"]) and math.isclose(follows[i], r["follows"])
+
+
 def test_training_rows_are_needed_for_none(spark):
     held = [i for i in range(60) if lm.held_out(i)]
     got = lm.judge(spark.createDataFrame([(i, "a few words") for i in held], "doc_id long, text string")).collect()

@@ -347,10 +347,10 @@ def _buckets(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _in_buckets(df: DataFrame, name: str) -> DataFrame:
-    """A table written sorted in buckets by pair and read back: joins by pair don't shuffle it."""
+def _in_buckets(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """A table written sorted in buckets by these columns and read back: joins by them don't shuffle it."""
     spark, path, table = df.sparkSession, new_path(df.sparkSession, name), f"rastrum_{name}_{uuid.uuid4().hex}"
-    df.write.bucketBy(_buckets(df), "u", "w").sortBy("u", "w").option("path", path).option("compression", "zstd").saveAsTable(table)
+    df.write.bucketBy(_buckets(df), *by).sortBy(*by).option("path", path).option("compression", "zstd").saveAsTable(table)
     out = spark.table(table)
     out._written_at, out._called = path, table
     return out
@@ -471,14 +471,14 @@ class Model:
         return of
 
 
-def fit(docs: DataFrame, burn_in: int = BURN_IN, samples: int = SAMPLES, most_common: int = COMMON) -> Model:
-    """Learn from documents (id, __text)."""
-    every = materialize(word_counts(docs), "words")
+def fit(docs: DataFrame, burn_in: int = BURN_IN, samples: int = SAMPLES, most_common: int = COMMON, every: DataFrame | None = None) -> Model:
+    """Learn from documents (id, __text); every: their written ``word_counts``, which are deleted."""
+    every = materialize(word_counts(docs), "words") if every is None else every
     n, v = (x or 0 for x in every.agg(F.sum("c"), F.count("*")).first())
     common = [bytes(r["word"]) for r in every.orderBy(F.desc("c"), "word").limit(most_common).collect()]  # most_common rows
     words, classes = named_words(every, common)
     size, spelling = classes.n + 1, Spelling()
-    pairs = _in_buckets(pair_counts(docs, classes), "pairs")
+    pairs = _in_buckets(pair_counts(docs, classes), "pairs", "u", "w")
     first = classes.is_common("u")
     kind = F.when(classes.is_common("w"), F.col("w")).otherwise(classes.n)
     counts = materialize(pairs.where(first).groupBy((F.col("u") * size + kind).cast("int").alias("cell")).agg(F.sum("n").alias("n")), "classes")
@@ -529,7 +529,7 @@ def fit(docs: DataFrame, burn_in: int = BURN_IN, samples: int = SAMPLES, most_co
         mean, t = mean.unionByName(x), t.unionByName(y)
     mean = mean.groupBy("word", "id", "c", "common").agg(F.avg("t").alias("tables"), F.avg("own").alias("own"), F.avg("follows").alias("follows"))
     averaged = materialize(mean, "averaged")
-    t = _in_buckets(t.repartition(_buckets(docs), "u", "w").groupBy("u", "w").agg(F.avg("t").alias("t")), "tables")
+    t = _in_buckets(t.repartition(_buckets(docs), "u", "w").groupBy("u", "w").agg(F.avg("t").alias("t")), "tables", "u", "w")
     discard(every, words, counts, ones, multi, *kept, *written)
     return Model(averaged, n, v, sweeps, classes, follow, pairs, t, discount, alone)
 
@@ -716,8 +716,15 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score and perplexity of every document."""
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"))
     own = with_row_key(own, "id", "__text")
+    from rastrum.llm import lm_packed  # which builds on this module
+
     with _shuffles_removed(docs.sparkSession):
-        found = score(own, fit(own), most_words)
+        every = materialize(word_counts(own), "words")
+        if every.count() <= most_words:
+            found = lm_packed.score(own, every)
+            discard(every)
+        else:
+            found = score(own, fit(own, every=every), most_words)
     aside = F.coalesce(F.crc32(F.col("id").cast("string").cast("binary")) % FOLDS == HELD_OUT, F.lit(False))
     return found.select(
         F.col("id").alias(id_col), aside.alias("held_out"), "n_tokens", "n_known", F.col("train_tokens"), "base_score", "score",

@@ -32,7 +32,8 @@ once has one table and isn't drawn.  After ``BURN_IN`` sweeps those of ``SAMPLES
 sweeps are averaged: each class's and word's probabilities and the pairs' tables.
 
 The class model has at most (COMMON + 1) ** 2 probabilities and the spelling model
-257 * 256 * 256 by construction; both are broadcast.  Word probabilities are
+257 * 256 * 256 by construction; both are broadcast.  ``lm_packed`` has the same
+model for up to 64 Mi words.  Here, word probabilities are
 broadcast (28 bytes each) up to ``MOST_WORDS`` words, in ``PIECES`` pieces, of
 which the driver holds one at a time; above, tokens are joined with
 the table instead, with the same result.  Pairs are never broadcast: texts' pairs
@@ -59,6 +60,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -86,30 +88,76 @@ def tokens_of(text: bytes) -> list[bytes]:
     return [*text.lower().split(), b""]
 
 
+def tokenized(texts: pa.StringArray) -> tuple[pa.BinaryArray, np.ndarray, np.ndarray]:
+    """(different words, each token's number among them, tokens of each text): all texts' ``tokens_of``, one after the other."""
+    trimmed = pc.ascii_trim_whitespace(pc.ascii_lower(texts.fill_null("")))
+    lists = pc.ascii_split_whitespace(trimmed)
+    coded = lists.flatten().dictionary_encode()
+    words, size = coded.dictionary.cast(pa.binary()), np.diff(lists.offsets.to_numpy())
+    ended = pc.binary_length(trimmed).to_numpy() == 0  # an empty text is split into its end
+    end = words.index(b"").as_py()
+    if end < 0:
+        end, words = len(words), pa.concat_arrays([words, pa.array([b""], pa.binary())])
+    size = size + ~ended
+    own = np.ones(int(size.sum()), bool)
+    own[(np.cumsum(size) - 1)[~ended]] = False
+    token = np.full(len(own), end, np.int32)
+    token[own] = coded.indices.to_numpy()
+    return words, token, size
+
+
+def parts_of(batches: Iterator[pa.RecordBatch], rows: int = 2048, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches' rows in batches of so many rows at most, and of so many bytes of text if it isn't one row."""
+    held: list[pa.RecordBatch] = []
+    n = full = 0
+    for b in batches:
+        ends = np.cumsum(pc.binary_length(b["__text"]).fill_null(0).to_numpy().astype(np.int64))
+        at = 0
+        while at < b.num_rows:
+            before = int(ends[at - 1]) if at else 0
+            more = min(rows - n, int(np.searchsorted(ends, before + size - full, side="right")) - at)
+            if more > 0 or not held:
+                held.append(b.slice(at, more := max(1, more)))
+                n, at, full = n + more, at + more, full + int(ends[at + more - 1]) - before
+            else:
+                yield pa.concat_batches(held)
+                held, n, full = [], 0, 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def held_out(doc_id: int | None) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % FOLDS == HELD_OUT
 
 
+def stirred(x: np.ndarray, k: int) -> np.ndarray:
+    """One round of ``mixed``, of unsigned numbers."""
+    x = x + np.uint64((k * 0x9E3779B97F4A7C15 + SEED) & 0xFFFFFFFFFFFFFFFF)
+    x ^= x >> np.uint64(30)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
+
+
 def mixed(x: np.ndarray, *more: int) -> np.ndarray:
     """Well-mixed 64-bit numbers of numbers."""
     x = x.astype(np.uint64)
     for k in (0, *more):
-        x = x + np.uint64((k * 0x9E3779B97F4A7C15 + SEED) & 0xFFFFFFFFFFFFFFFF)
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        x = x ^ (x >> np.uint64(31))
+        x = stirred(x, k)
     return x
 
 
 def drawn(keys: np.ndarray, number: int) -> np.ndarray:
-    """Each key's draw of that number, above 0 and below 1."""
-    return ((mixed(keys, number) >> np.uint64(12)).astype(float) + 0.5) / 2.0**52
+    """Draw of that number of each key, which has had a round of ``mixed``; above 0 and below 1."""
+    return ((stirred(keys, number) >> np.uint64(12)).astype(float) + 0.5) / 2.0**52
 
 
 def seats(customers: np.ndarray, weight: np.ndarray, discount: float, keys: np.ndarray) -> np.ndarray:
     """Tables of each dish after its customers sat down in turn; weight is that of a new table."""
     order = np.argsort(-customers, kind="stable")
-    c, a, k = customers[order], weight[order], keys[order]
+    c, a, k = customers[order], weight[order], mixed(keys[order])
     t = np.ones(len(c))
     active = len(c)
     for i in range(1, SEATED):
@@ -149,30 +197,72 @@ def spelled(words: list[bytes], logs: tuple[np.ndarray, np.ndarray]) -> np.ndarr
     """log10 of the words' spelling probabilities; logs: each context's row, and the rows."""
     if not words:
         return np.zeros(0)
-    cells, starts = cells_of(words)
+    return spelled_cells(*cells_of(words), logs)
+
+
+def spelled_cells(cells: np.ndarray, starts: np.ndarray, logs: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     rows, values = logs
     return np.add.reduceat(values[rows[cells >> 8], cells & 0xFF].astype(np.float64), starts)
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, c) over documents (id, __text), held-out ones left out."""
+    """(word, c) over documents (id, __text), held-out ones left out.
+
+    A task's words are shuffled as rows of arrays: the words of a part by hash, their lengths and counts."""
+    parts = 2 * _buckets(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter[bytes] = Counter()
-        for b in in_parts(batches):
-            for doc_id, text in zip(b["id"].to_pylist(), texts_of(b), strict=True):
-                if not held_out(doc_id):
-                    found.update(tokens_of(text))
-            if len(found) > 500_000:
-                yield _counted(found)
-                found.clear()
-        yield _counted(found)
+        found: list[pa.Table] = []
+        for b in parts_of(batches):
+            texts = b["__text"].filter(pa.array([not held_out(i) for i in b["id"].to_pylist()], pa.bool_()))
+            if len(texts):
+                words, token, _ = tokenized(texts)
+                found.append(pa.table({"word": words, "c": np.bincount(token, minlength=len(words))}))
+            if sum(map(len, found)) > 600_000:
+                found = [_counted(found)]
+                if len(found[0]) > 300_000:
+                    yield _by_part(found.pop(), parts)
+        if found:
+            yield _by_part(_counted(found), parts)
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, list[pa.Table]] = {}
+        for b in batches:
+            for part, words, sizes, c in zip(*(x.to_pylist() for x in b.columns), strict=True):
+                ends = np.cumsum(np.frombuffer(sizes, np.int32), dtype=np.int32)
+                own = pa.BinaryArray.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(np.append(np.int32(0), ends)), pa.py_buffer(words)])
+                found.setdefault(part, []).append(pa.table({"word": own, "c": np.frombuffer(c, np.int64)}))
+        for part in list(found):
+            yield from _counted(found.pop(part)).to_batches()
+
+    packed = docs.select("id", "__text").mapInArrow(run, "part int, words binary, sizes binary, c binary")
+    return packed.repartition(_buckets(docs), "part").mapInArrow(add_up, "word binary, c long")
+
+
+def _counted(found: list[pa.Table]) -> pa.Table:
+    """The tables' words, once each."""
+    return pa.concat_tables(found).group_by("word", use_threads=False).aggregate([("c", "sum")]).rename_columns(["word", "c"]).combine_chunks()
+
 
-    return docs.mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+def _by_part(counted: pa.Table, parts: int) -> pa.RecordBatch:
+    words, c = counted["word"].combine_chunks(), counted["c"].to_numpy()
+    part = _parted(words, parts)
+    order = np.argsort(part, kind="stable")
+    part, c, words = part[order], c[order], words.take(pa.array(order))
+    ends = np.frombuffer(words.buffers()[1], np.int32, len(words) + 1, 4 * words.offset)
+    data, cuts = memoryview(words.buffers()[2] or b""), [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
+    rows = [(int(part[i]), bytes(data[ends[i] : ends[j]]), np.diff(ends[i : j + 1]).tobytes(), c[i:j].tobytes()) for i, j in zip(cuts, cuts[1:], strict=False)]
+    return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 3), strict=True)], names=["part", "words", "sizes", "c"])
 
 
-def _counted(found: Counter) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], names=["word", "c"])
+def _parted(words: pa.BinaryArray, parts: int) -> np.ndarray:
+    """A part for each word, by its bytes and where in the word they are."""
+    ends = np.frombuffer(words.buffers()[1], np.int32, len(words) + 1, 4 * words.offset).astype(np.int64)
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    ends = ends - ends[0]
+    place = np.arange(len(data)) - np.repeat(ends[:-1], np.diff(ends))
+    sums = np.append(np.uint64(0), np.cumsum(mixed(np.arange(256), 7)[data] * (mixed(np.arange(64), 8) | np.uint64(1))[place & 63]))
+    return (mixed(sums[ends[1:]] - sums[ends[:-1]]) % np.uint64(parts)).astype(np.int64)
 
 
 def hashes_of(words: list[bytes], seed: int = 0) -> np.ndarray:
@@ -712,7 +802,7 @@ def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_words: int = MOST_WORDS) -> DataFrame:
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_words: int | None = None) -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score and perplexity of every document."""
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"))
     own = with_row_key(own, "id", "__text")
@@ -720,11 +810,11 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_
 
     with _shuffles_removed(docs.sparkSession):
         every = materialize(word_counts(own), "words")
-        if every.count() <= most_words:
+        if every.count() <= (lm_packed.MOST_WORDS if most_words is None else most_words):
             found = lm_packed.score(own, every)
             discard(every)
         else:
-            found = score(own, fit(own, every=every), most_words)
+            found = score(own, fit(own, every=every), MOST_WORDS if most_words is None else most_words)
     aside = F.coalesce(F.crc32(F.col("id").cast("string").cast("binary")) % FOLDS == HELD_OUT, F.lit(False))
     return found.select(
         F.col("id").alias(id_col), aside.alias("held_out"), "n_tokens", "n_known", F.col("train_tokens"), "base_score", "score",
